@@ -15,9 +15,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(C.table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality_rules import apply_rules
+
+    return apply_rules(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from graphloom.llm import quality_rules
+
+    return {"op2_quality_rules": quality_rules.oracle()}
