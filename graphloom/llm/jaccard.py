@@ -224,3 +224,9 @@ def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
         found = found.withColumn("component", F.lit(None).cast("long"))
     by_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), by_id.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of the smallest doc_id of each group; rows without doc_id stay."""
+    gone = similarity_groups(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -95,15 +95,15 @@ def _context_vectors(words: np.ndarray, shapes: np.ndarray, first: np.ndarray) -
     row = C.row_of(first, len(words))
     for at in (words, shapes):
         order = np.argsort(at, kind="stable")
-        head = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])) if len(at) else np.zeros(0, np.int64)
         for step in [s for s in range(-REACH, REACH + 1) if s]:
             near = np.clip(np.arange(len(at)) + step, 0, max(len(at) - 1, 0))
             inside = (row[near] == row) & (near == np.arange(len(at)) + step)
-            for a in range(0, len(head), 1 << 15):  # bounded slices of the sorted tokens
-                lo, hi = head[a], head[a + (1 << 15)] if a + (1 << 15) < len(head) else len(order)
-                part = order[lo:hi]
+            for lo in range(0, len(order), 1 << 16):  # bounded slices of the sorted tokens
+                part = order[lo : lo + (1 << 16)]
                 around = (index[words[near[part]]] + index[shapes[near[part]]]) * inside[part, None]
-                table[at[order[head[a : a + (1 << 15)]]]] += np.add.reduceat(around, head[a : a + (1 << 15)] - lo)
+                own = at[part]
+                starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                table[own[starts]] += np.add.reduceat(around, starts)
     unseen = ~table.any(axis=1)
     table[unseen] = index[unseen]
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
@@ -162,3 +162,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
     model = fit(*labelled.sample(docs, labels, "quality"))
     rows = C.keyed_documents(docs).withColumn("held_out", labelled.held_out())
     return rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def _kept(model: QualityModel, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slices(batches, most=C.SLICE_BYTES // 2):
+            yield b.filter(pa.array(model.scores(*C.utf8(b.column("text"))) >= least))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, that score ``least`` or more."""
+    model = fit(*labelled.sample(docs, labels, "quality"))
+    return docs.mapInArrow(_kept(model, least), docs.schema)

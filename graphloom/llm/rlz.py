@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import common as C
 
@@ -159,7 +160,7 @@ def _covered(first: np.ndarray, n_words: int, rows: np.ndarray, lo: np.ndarray,
     return np.cumsum(depth[:-1]) > 0
 
 
-def _kept_rows(out: pa.Schema, window: int):
+def _kept_rows(columns: tuple[str, ...], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
             raw, offsets = C.utf8(b.column("text"))
@@ -186,23 +187,26 @@ def _kept_rows(out: pa.Schema, window: int):
             cols = {
                 "doc_id": b.column("doc_id"), "n_words": n_words.astype(np.int64), "n_removed": removed.astype(np.int64),
                 "kept_sha256": [hashlib.sha256(x).hexdigest() for x in text], "kept_text": pa.array([x.decode() for x in text], pa.string()),
-                "row_text": b.column("text"),
             }
-            yield pa.record_batch([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in out], schema=out)
+            if "row" in columns:
+                cols["row"] = b.column("row")
+            yield pa.record_batch([cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c]) for c in columns], names=list(columns))
 
     return run
 
 
-_OUT = {"doc_id": ("long", pa.int64()), "n_words": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "kept_sha256": ("string", pa.string()), "kept_text": ("string", pa.string()), "row_text": ("string", pa.string())}
+_OUT = {"doc_id": T.LongType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, columns: tuple[str, ...] = ("doc_id", "n_words", "n_removed", "kept_sha256")) -> DataFrame:
     """Words covered by a window of ``window`` words that also starts earlier are removed.
 
     One row per input row.  ``columns`` may also name kept_text (the words left, joined by one
-    space) and row_text (the text as it was).
+    space) and row (a struct of the input row's columns).
     """
-    docs = C.keyed_documents(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**62))))
+    carried = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    kinds = T.StructType([T.StructField(c, docs.schema if c == "row" else _OUT[c]) for c in columns])
+    docs = C.keyed_documents(docs, carried).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**62))))
     rows = docs.select("doc", "text").mapInArrow(_block_rows(window, anchor), _ROWS_SQL)
     found = _decided(rows).where("again or other")
     span = F.shiftleft(F.col("lo").cast("long"), 20).bitwiseOR(F.col("n").cast("long"))
@@ -211,10 +215,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         F.collect_list(F.when(~F.col("again"), F.col("lo").cast("long"))).alias("pending"),
     )
     per_doc = C.materialize(per_doc, "rlz-factors")
-    text = docs.select("doc", "doc_id", "text")
+    text = docs.select("doc", "text")
     open_ends = per_doc.where(F.size("pending") > 0).select("doc", "pending")
     edge = text.join(open_ends, "doc").select("doc", "text", "pending").mapInArrow(_boundary_rows(window, anchor), _ROWS_SQL)
     singles = _decided(edge).where("again").groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 20).bitwiseOR(F.lit(1).cast("long"))).alias("single"))
-    joined = text.join(per_doc.select("doc", "copied"), "doc", "left").join(singles, "doc", "left").select("doc_id", "text", "copied", "single")
-    schema = pa.schema([(c, _OUT[c][1]) for c in columns])
-    return joined.mapInArrow(_kept_rows(schema, window), ", ".join(f"{c} {_OUT[c][0]}" for c in columns))
+    keep = ["doc_id", "text", "copied", "single"] + ["row"] * ("row" in columns)
+    joined = docs.join(per_doc.select("doc", "copied"), "doc", "left").join(singles, "doc", "left").select(*keep)
+    return joined.mapInArrow(_kept_rows(columns, window), kinds)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, where a text that lost words is the words left; n_chars follows the text."""
+    found = dedup_substrings(docs, window, columns=("n_removed", "kept_text", "row"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return found.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
