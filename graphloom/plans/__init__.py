@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries and the graphs that they run over."""
