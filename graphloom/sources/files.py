@@ -18,8 +18,8 @@ LANGUAGES = ((".blade.php", "blade"), (".php", "php"), (".py", "python"), (".tsx
 def scan(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORED, endings: Sequence[str] | None = None) -> DataFrame:
     """SRC1: (path, content, size) of text files below root; folders that are ignored are left out before their content is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = raw.select(F.col("path"), F.col("length").alias("size"), F.col("content"))
-    rows = rows.where(~is_ignored(F.col("path"), ignored))
+    below = F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1)
+    rows = raw.select(F.col("path"), F.col("length").alias("size"), F.col("content")).where(~is_ignored(below, ignored))
     if endings is not None:
         rows = rows.where(F.lower(F.substring_index("path", ".", -1)).isin(*[e.lower().lstrip(".") for e in endings]))
     return rows.select("path", F.decode("content", "UTF-8").alias("content"), "size")
