@@ -36,6 +36,8 @@ from graphloom.llm import common as C
 GROUP, REPEAT, COVERED = 256, 8, 0.8
 #: Distinct pages of a group that share a repeat.
 PAGES = 2
+#: Hosts of more than a group whose list is sent to every task; a longer list is joined by shuffle.
+HOSTS_SENT = 100_000
 
 _SPACE = " \t\n\r\f\v"
 # Elements by what they mean for the text around them.
@@ -222,6 +224,9 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     rows = rows.withColumn("host", host).withColumn("same", F.xxhash64("url", "html"))
     many = rows.groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")).where("groups > 1")
     # Only hosts with more than a group are listed; each page's group follows from its id.
+    many = C.materialize(many, "hosts")
+    if many.count() <= HOSTS_SENT:
+        many = F.broadcast(many)
     rows = rows.join(many, "host", "left").withColumn("dealt", F.when(F.col("groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "same"), F.col("groups"))).cast("int"))
     parsed = rows.select("page_id", "url", "host", "dealt", "html", "same").mapInArrow(_parsed, _BLOCKS_SQL)
     together = parsed.repartition("host", "dealt").sortWithinPartitions("host", "dealt")
