@@ -236,7 +236,7 @@ def _write(folder: str, path: str, end: int):
             held, size, part = [], 0, part + 1
             return out
 
-        for b in C.slices(batches):
+        for b in C.slices(batches, most=tokens.SLICE_BYTES):
             raw, offsets = C.utf8(b.column("text"))
             ids, first = tokens.with_end(*enc.encode(raw, offsets), end)
             docs = b.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
@@ -285,7 +285,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int) -> DataFra
 
 def read_ids(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
-    return files.repartition(F.col("name")).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A task for each file: repartition by number is not put together again at run time.
+    return files.repartition(max(1, files.count())).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:

@@ -42,7 +42,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def _pieces(tokenizer: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        for b in C.slices(batches):
+        for b in C.slices(batches, most=tokens.SLICE_BYTES):
             raw, offsets = C.utf8(b.column("text"))
             ids, first = tokens.with_end(*enc.encode(raw, offsets), end)
             sizes = np.diff(first)
