@@ -6,6 +6,7 @@ numpy arrays over a slice of an Arrow batch, so the cost per byte is a few array
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark drops the shuffle files of finished steps now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_documents(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text, and the further columns given; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

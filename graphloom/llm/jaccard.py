@@ -4,9 +4,10 @@ A document is the set of its distinct word shingles.  Two sets whose overlap rea
 least l tokens within their first ``n - o + l`` tokens of any global order.  The order here is by
 estimated frequency, rarest first, from a fixed-size counting sketch over every document.  Each
 document picks its own l: the prefix grows while the estimated candidates of its tokens cost more
-than the longer prefix, and a pair must then share the smaller of both l before it is verified.
-A token at place i of n also bounds what can still be shared (n - i), which drops most pairs of
-edited copies.
+than the longer prefix, and a pair must then share correspondingly more tokens of both prefixes
+before it is verified.  A token at place i of n also bounds what can still be shared (n - i): a pair
+is only formed at a token that can be the first of an overlap that is large enough, which drops
+most pairs of edited copies.
 
 Equal sets are one class with its smallest doc_id, so copies cost nothing further.  Links only
 matter for groups here: star rounds first verify each document against the most central document
@@ -35,8 +36,8 @@ from graphloom.llm.components import components
 CELLS = 1 << 16
 #: Longest extension of a prefix, and the candidates that pay for one more token in it.
 MOST_MATCHES, CANDIDATES_PER_TOKEN = 4, 24
-#: Star rounds at most, and pairs (as a multiple of the postings, and at least so many) that need no further one.
-STARS, PAIRS_PER_POSTING, PAIRS_AT_LEAST = 5, 2, 100_000
+#: Star rounds before all pairs between groups are joined.
+STARS = 2
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,10 +160,26 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(k, percent), "a long, b long")
 
 
+def _overlap(percent: int, x: str, y: str) -> str:
+    """The overlap that a link of two sizes needs."""
+    return f"ceil({percent}D * ({x}.n + {y}.n) / {100 + percent} - 1e-9)"
+
+
 def _may_link(percent: int, x: str, y: str) -> str:
-    """Both sizes and places allow the overlap that a link needs; up to the pair's matches may stand before a shared token."""
-    need = f"ceil({percent}D * ({x}.n + {y}.n) / {100 + percent} - 1e-9)"
-    return f"least({x}.n - {x}.i, {y}.n - {y}.i) + least({x}.matches, {y}.matches) - 1 >= {need} and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    """If this token is the first that both have, sizes and places allow the overlap that a link needs."""
+    return f"least({x}.n - {x}.i, {y}.n - {y}.i) >= {_overlap(percent, x, y)} and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+
+
+def _enough_shared(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share as many tokens as their lengths require.
+
+    Tokens up to the smaller of the two prefix ends are counted in both prefixes; beyond it one side
+    has no more than n - length left.
+    """
+    x, y = (prefixes.select(F.col("doc_id").alias(c), F.struct("n", "tokens").alias(f"s{c}")) for c in ("a", "b"))
+    rows = pairs.select("a", "b").join(x, "a").join(y, "b")
+    left = "greatest(sa.n - size(sa.tokens), sb.n - size(sb.tokens))"
+    return rows.where(f"size(array_intersect(sa.tokens, sb.tokens)) >= {_overlap(percent, 'sa', 'sb')} - {left}").select("a", "b")
 
 
 def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -175,55 +192,53 @@ def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     sizes = survey.where("kind = 0").select("doc_id", "n", "f", "g")
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n int, matches int, central long, tokens array<long>")
-    prefixes = prefixes.where("n > 0").join(reps, "doc_id", "left_semi")
-    postings = prefixes.select("doc_id", "n", "matches", "central", F.posexplode("tokens").alias("i", "t"))
-    by_token = C.materialize(postings, "postings")
-    shared = by_token.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
-    postings = C.materialize(by_token.join(shared, "t"), "shared-postings")
+    found = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n int, matches int, central long, tokens array<long>")
+    prefixes = C.materialize(found.where("n > 0").join(reps, "doc_id", "left_semi"), "prefixes")
+    C.release(docs.sparkSession)
+    by_token = prefixes.select("doc_id", F.posexplode("tokens").alias("i", "t"))
+    shared = by_token.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
+    few = C.materialize(by_token.join(shared, "t"), "postings")
+    C.release(docs.sparkSession)
+    postings = C.materialize(few.join(prefixes.select("doc_id", "n", "central"), "doc_id"), "postings")
     involved = postings.select("doc_id").distinct()
     texts = C.materialize(docs.join(involved, "doc_id", "left_semi"), "involved-texts")
-    n_postings = postings.count()
+    C.release(docs.sparkSession)
     groups, links = None, None
 
     def grouped() -> DataFrame:
         if groups is None:
             return postings.withColumn("c", F.col("doc_id"))
-        return postings.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        rows = postings.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        return C.materialize(rows, "postings")
 
-    def merged(new: DataFrame) -> int:
+    def merged(pairs: DataFrame) -> int:
+        """Verifies the pairs and joins the groups that they link; the number of links."""
         nonlocal groups, links
-        new = C.materialize(new, "links")
+        new = C.materialize(_links(_enough_shared(pairs, prefixes, percent), texts, k, percent), "links")
         count = new.count()
         if count:
             links = new if links is None else links.union(new)
             groups = components(links)
+        C.release(docs.sparkSession)
         return count
 
     for turn in range(STARS):
         now = grouped()
-        per_token = now.groupBy("t", "c").agg(F.count("*").alias("m")).groupBy("t").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        open_pairs = per_token.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if open_pairs <= max(PAIRS_AT_LEAST, PAIRS_PER_POSTING * n_postings):
-            break
         rank = F.col("central") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        hub = now.groupBy("t").agg(F.max(F.struct(rank.alias("r"), "doc_id", "n", "matches", "i", "c")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "hub.*").drop("r")
+        hub = now.groupBy("t").agg(F.max(F.struct(rank.alias("r"), "doc_id", "n", "i", "c")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "hub.*").drop("r")
         star = now.alias("x").join(hub.alias("h"), "t").where("x.c <> h.c").where(_may_link(percent, "x", "h"))
-        pairs = star.groupBy(F.col("h.doc_id").alias("a"), F.col("x.doc_id").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("x.matches", "h.matches")).alias("want")).where("m >= want")
-        best = pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-        if not merged(_links(best, texts, k, percent)) and turn:
-            break
+        pairs = star.groupBy(F.col("h.doc_id").alias("a"), F.col("x.doc_id").alias("b")).agg(F.count("*").alias("m"))
+        merged(pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("p")).select(F.col("p.a").alias("a"), "b"))
     now = grouped()
     rest = now.alias("x").join(now.alias("y"), "t").where("x.c < y.c").where(_may_link(percent, "x", "y"))
-    pairs = rest.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("x.matches", "y.matches")).alias("want")).where("m >= want")
-    merged(_links(pairs, texts, k, percent))
-    found = sizes.join(classes, ["n", "f", "g"], "left")
+    merged(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    out = sizes.join(classes, ["n", "f", "g"], "left")
     if groups is not None:
-        found = found.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+        out = out.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     else:
-        found = found.withColumn("component", F.lit(None).cast("long"))
+        out = out.withColumn("component", F.lit(None).cast("long"))
     by_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), by_id.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), by_id.alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

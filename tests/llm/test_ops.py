@@ -141,10 +141,9 @@ def groups_of(texts, k, percent):
     return {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("k", "percent", "least"), [(3, 90, 100_000), (5, 80, 0)])
-def test_jaccard_groups(spark, monkeypatch, k, percent, least):
-    monkeypatch.setattr(jaccard, "PAIRS_AT_LEAST", least)
-    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", 0)
+@pytest.mark.parametrize(("k", "percent", "stars"), [(3, 90, 2), (5, 80, 2), (3, 90, 0)])
+def test_jaccard_groups(spark, monkeypatch, k, percent, stars):
+    monkeypatch.setattr(jaccard, "STARS", stars)
     texts = [*corpus(3), "A b", "a B", "a b c"]
     got = by_id(jaccard.similarity_groups(frame(spark, texts), k, percent))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == groups_of(texts, k, percent)
