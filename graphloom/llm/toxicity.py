@@ -4,12 +4,14 @@ The kernel counts common subsequences of ``ORDER`` letters of two words, each di
 ``DECAY`` per letter that it spans in either, so inserted letters and gaps cost a little instead of
 everything; it looks ``SLACK`` letters beyond a landmark's length.  A word begins with ``^``; letters alone count, so symbols between them cost nothing,
 and single letters set apart are read as one word.  Landmarks are the word beginnings that best
-tell labelled toxic from other documents, chosen one after another for the documents that they add.
-A sentence is the largest kernel values of its words at each landmark, mapped by the inverse root
+tell labelled toxic from other documents, chosen one after another for the documents that they add:
+those that tell by standing in a document, and those, shared with ordinary words, that tell only by
+standing in one sentence several times.  A sentence is, at each landmark, the largest kernel value
+of its words and the logarithm of what its other distinct words add to it, each mapped by the inverse root
 of the landmarks' own kernel matrix (Nystrom); a squared-hinge machine is trained on sentences of
-toxic documents that reach a landmark, once as they are and once with a letter put into each word,
-against sentences of other documents.  A document scores as its worst sentence, through a logistic
-curve fitted on the sample.
+toxic documents that reach a landmark as often as it tells, once as they are and once with a letter
+put into each word, against sentences of other documents.  A document scores by its worst sentence and the one
+after it, through a logistic curve fitted on the sample.
 
 Fitting uses at most ``labelled.SAMPLE`` documents of each label.  Scoring is one pass without a
 shuffle: kernels are computed once per distinct word, and only where a word has all but at most one
@@ -23,6 +25,7 @@ empty table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +39,18 @@ from graphloom.llm import labelled
 ORDER, DECAY = 5, 0.8
 #: Landmarks at most, letters of a word beginning, documents that one must be seen in, and its share of other documents at most.
 LANDMARKS, SHORTEST, LONGEST, LEAST_DOCS, IMPURE = 64, 4, 9, 4, 0.02
+#: Times in one sentence at which a beginning may tell.
+TIMES = (1, 2, 3)
 #: Letters that the kernel looks at beyond a landmark's own length.
 SLACK = 2
 #: Kernel values (as a share of a landmark's own) below this count as 0.
 FAINT = 0.3
+#: Power of the values that are added up, so that many weak ones don't make a strong one.
+SHARP = 4
 #: Distinct words whose kernel values a worker remembers.
 REMEMBERED = 300_000
+#: Words whose kernel values the driver computes at once while fitting.
+FITTED_AT_ONCE = 20_000
 
 _END = re.compile(r"[.!?](?=\s)|\n")
 _APART = re.compile(r"(?<![^\s])(?:[^\W\d_][\s.*_-]){3,}[^\W\d_](?![^\s])")
@@ -98,7 +107,7 @@ def _letters(words: list[str]) -> np.ndarray:
 class ToxicityModel:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.weight, self.bias, self.slope, self.shift = np.zeros(len(landmarks)), 0.0, 1.0, 0.0
+        self.weight, self.bias, self.slope, self.shift = np.zeros(2 * len(landmarks)), 0.0, np.array([1.0, 0.0]), 0.0
         if landmarks:
             self.own = kernel(landmarks, landmarks)
             self.codes = _codes(landmarks)
@@ -150,20 +159,27 @@ class ToxicityModel:
         at = dict.fromkeys(kinds, 0)
         for k in np.flatnonzero(values.any(axis=1)):
             at[kinds[k]] = len(self.rows)
-            self.rows.append(values[k])
+            self.rows.append(values[k].copy())  # a view would keep all values in memory
         self.known.update(zip(new, map(at.__getitem__, plain), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    @staticmethod
+    def summed(values: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Of the words from each head to the next: the largest value at each landmark, and the logarithm of 1 and the sum of the others' powers."""
+        most = np.maximum.reduceat(values, head)
+        return np.hstack([most, np.log1p(np.maximum(np.add.reduceat(values**SHARP, head) - most**SHARP, 0))])
+
     def features(self, values: np.ndarray) -> np.ndarray:
-        return values @ self.map
+        m = len(self.landmarks)
+        return np.hstack([values[:, :m] @ self.map, values[:, m:] @ self.map])
 
     def decide(self, values: np.ndarray) -> np.ndarray:
         return self.features(values) @ self.weight + self.bias
 
     def worst(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The decision of each row's worst sentence; without a sentence that of no value."""
-        lowest = self.decide(np.zeros((1, len(self.landmarks))))[0]
-        out = np.full(len(offsets) - 1, lowest)
+        """The decisions of each row's two worst sentences; in place of a missing one that of no value."""
+        lowest = self.decide(np.zeros((1, 2 * len(self.landmarks))))[0]
+        out = np.full((len(offsets) - 1, 2), lowest)
         starts, ends, first = C.word_spans(raw, offsets)
         if not len(starts) or not self.landmarks:
             return out
@@ -181,13 +197,22 @@ class ToxicityModel:
         hot = np.flatnonzero(code)
         if len(hot):
             table = np.stack(self.rows)
+            # A word counts once in a sentence, so that lines of one word repeated don't add up.
+            hot = hot[np.sort(np.unique(sentence[hot].astype(np.int64) * len(table) + code[hot], return_index=True)[1])]
             head = np.flatnonzero(np.append(True, sentence[hot][1:] != sentence[hot][:-1]))
-            value = self.decide(np.maximum.reduceat(table[code[hot]], head))
-            np.maximum.at(out, C.row_of(first, len(starts))[hot[head]], value)
+            value = self.decide(self.summed(table[code[hot]], head))
+            row = C.row_of(first, len(starts))[hot[head]]
+            order = np.lexsort((-value, row))
+            row, value = row[order], value[order]
+            new = np.append(True, row[1:] != row[:-1])
+            second = np.append(False, new[:-1]) & ~new
+            out[row[new], 0] = np.maximum(lowest, value[new])
+            out[row[second], 1] = np.maximum(lowest, value[second])
         for r in self._apart(raw, offsets):
             text = raw[offsets[r] : offsets[r + 1]].tobytes().decode(errors="replace")
             for found in _APART.findall(text):
-                out[r] = max(out[r], self.decide(self.word_values([normal(found)]))[0])
+                value = self.decide(self.summed(self.word_values([normal(found)]), np.array([0])))[0]
+                out[r] = sorted([*out[r], value], reverse=True)[:2]
         return out
 
     @staticmethod
@@ -200,37 +225,53 @@ class ToxicityModel:
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not self.landmarks:
             return np.zeros(len(offsets) - 1)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(raw, offsets) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.worst(raw, offsets) @ self.slope + self.shift, -40, 40)))
+
 
+def choose_landmarks(texts: list[str], labels: list[int], most: int = LANDMARKS) -> list[tuple[str, int]]:
+    """Word beginnings and how often one sentence must have them to tell: so they are in toxic documents and hardly in others.
 
-def choose_landmarks(texts: list[str], labels: list[int], most: int = LANDMARKS) -> list[str]:
-    """Word beginnings that stand in toxic documents and hardly in others; each next one adds most toxic documents."""
+    Each next one adds most toxic documents, and at most ``most`` are chosen for each of TIMES.
+    """
     y = np.array(labels)
-    words, rows = [], []
+    number: dict[str, int] = {}
+    codes, places, doc_of = array("q"), array("q"), array("q")  # a word's number and sentence; a sentence's document
     for r, text in enumerate(texts):
-        own = {normal(w) for w in text.split()}
-        own |= {normal(x) for x in _APART.findall(text)}
-        own.discard("")
-        words.append(np.array(sorted(own), dtype=f"U{LONGEST}"))
-        rows.append(np.full(len(own), r))
-    word, row = np.concatenate(words).astype(f"U{LONGEST}"), np.concatenate(rows)
-    names, docs = [], []
+        for part in [*sentences(text), *_APART.findall(text)]:
+            own = [normal(part)] if _APART.fullmatch(part) else [normal(w) for w in part.split()]
+            codes.extend(number.setdefault(w[:LONGEST], len(number)) for w in own if w)
+            places.extend([len(doc_of)] * (len(codes) - len(places)))
+            doc_of.append(r)
+    if not number:
+        return []
+    code, place, doc_of = (np.frombuffer(x, np.int64) for x in (codes, places, doc_of))
+    names = sorted(number)
+    at = np.empty(len(names), np.int64)
+    at[[number[w] for w in names]] = np.arange(len(names))
+    code, word = at[code], np.array(names)
+    found: dict[int, dict[str, frozenset]] = {times: {} for times in TIMES}
     for size in range(SHORTEST, LONGEST + 1):
         short = word.astype(f"U{size}")
-        keep = np.char.str_len(short) == size
-        kinds, which = np.unique(short[keep], return_inverse=True)
-        pair = np.unique(which.astype(np.int64) * len(y) + row[keep])
-        kind, doc = pair // len(y), pair % len(y)
-        toxic = np.bincount(kind[y[doc] == 1], minlength=len(kinds))
-        other = np.bincount(kind[y[doc] == 0], minlength=len(kinds))
-        share_toxic, share_other = toxic / max(1, (y == 1).sum()), other / max(1, (y == 0).sum())
-        good = np.flatnonzero((toxic >= LEAST_DOCS) & (share_other <= IMPURE * share_toxic))
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
-        for g in good:
-            names.append("^" + str(kinds[g]))
-            docs.append(frozenset(x for x in doc[order[ends[g] : ends[g + 1]]].tolist() if y[x]))
-    chosen, covered, left = [], dict.fromkeys(range(len(y)), 0), list(range(len(names)))
+        kind = np.cumsum(np.append(False, short[1:] != short[:-1]))  # equal beginnings stand together
+        long = (np.char.str_len(short) == size)[code]
+        pair, count = np.unique(kind[code[long]] * len(doc_of) + place[long], return_counts=True)
+        first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
+        for times in TIMES:
+            pairs = pair[count >= times]
+            both = np.unique(pairs // len(doc_of) * len(y) + doc_of[pairs % len(doc_of)])
+            k, doc = both // len(y), both % len(y)
+            toxic, other = (np.bincount(k[y[doc] == label], minlength=len(first)) for label in (1, 0))
+            share_toxic, share_other = toxic / max(1, (y == 1).sum()), other / max(1, (y == 0).sum())
+            ends = np.searchsorted(k, np.arange(len(first) + 1))
+            for g in np.flatnonzero((toxic >= LEAST_DOCS) & (share_other <= IMPURE * share_toxic)):
+                name = "^" + str(short[first[g]])
+                if not any(name in found[fewer] for fewer in TIMES if fewer < times):
+                    found[times][name] = frozenset(x for x in doc[ends[g] : ends[g + 1]].tolist() if y[x])
+    return [(name, times) for times in TIMES for name in _most_telling(list(found[times]), list(found[times].values()), most)]
+
+
+def _most_telling(names: list[str], docs: list[frozenset], most: int) -> list[str]:
+    chosen, covered, left = [], dict.fromkeys(frozenset().union(*docs), 0), list(range(len(names)))
     while left and len(chosen) < most:
         gain = {k: sum(1.0 if not covered[d] else 0.2 if covered[d] < 3 else 0.0 for d in docs[k]) for k in left}
         best = max(left, key=lambda k: (gain[k], -len(names[k]) if len(names[k]) > 7 else len(names[k]), names[k]))
@@ -259,7 +300,8 @@ def _blurred(text: str, rng: np.random.RandomState) -> str:
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     if len(set(labels)) < 2:
         return ToxicityModel([])
-    model = ToxicityModel(choose_landmarks(texts, labels))
+    chosen = choose_landmarks(texts, labels)
+    model, times = ToxicityModel([x for x, _ in chosen]), np.array([k for _, k in chosen])
     if not model.landmarks:
         return model
     m = len(model.landmarks)
@@ -269,32 +311,41 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(m))
     model.map = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     rng = np.random.RandomState(3)
-    rows, target = [], []
+    rows, target, nothing = [], [], 0
     model.room = 1 << 40  # the sample's words are all kept while fitting
     plain = [sentences(x) for x in texts]
     blurred = [[_blurred(x, rng) for x in part] if y else [] for part, y in zip(plain, labels, strict=True)]
-    model.row(sorted({w.encode() for side in (plain, blurred) for part in side for x in part for w in x.split()}))
+    every = sorted({w.encode() for side in (plain, blurred) for part in side for x in part for w in x.split()})
+    for a in range(0, len(every), FITTED_AT_ONCE):
+        model.row(every[a : a + FITTED_AT_ONCE])
+    del every
     table = np.stack(model.rows)
 
     def of(part: list[str]) -> np.ndarray:
-        codes = [[model.known[w.encode()] for w in x.split()] for x in part]
-        return np.stack([table[c].max(axis=0) if any(c) else table[0] for c in codes]) if codes else table[:0]
+        codes = [list(dict.fromkeys(c for w in x.split() if (c := model.known[w.encode()]))) or [0] for x in part]
+        return model.summed(table[np.concatenate(codes)], np.cumsum([0, *map(len, codes[:-1])])) if codes else np.zeros((0, 2 * m), np.float32)
 
     for part, blur, y in zip(plain, blurred, labels, strict=True):
         value = of(part)
         if y:
-            hit = np.flatnonzero(value.max(axis=1) > 0.9) if len(value) else []
+            hit = np.flatnonzero((value[:, :m] ** SHARP + np.expm1(value[:, m:]) > 0.9 * times).any(axis=1))
             if len(hit):
                 rows += [value[hit], of([blur[k] for k in hit])]
                 target.append(np.ones(2 * len(hit)))
         elif len(value):
-            rows.append(value)
-            target.append(np.zeros(len(value)))
+            some = value[value.any(axis=1)]
+            rows.append(some)
+            target.append(np.zeros(len(some)))
+            nothing += len(value) - len(some)
+    # Sentences of no value are all alike: one row stands for them.
+    rows.append(np.zeros((1, 2 * m), np.float32))
+    target.append(np.zeros(1))
     x, y = model.features(np.concatenate(rows)), np.concatenate(target) * 2 - 1
+    copies = np.append(np.ones(len(y) - 1), nothing)
     # Squared hinge, both sides weighted alike, by Newton's method.
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, ridge = np.zeros(m + 1), 1e-4 * np.eye(m + 1)
+    each = copies * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, copies[y < 0].sum()))
+    w, ridge = np.zeros(2 * m + 1), 1e-4 * np.eye(2 * m + 1)
     ridge[-1, -1] = 1e-8
     for _ in range(20):
         inside = y * (x1 @ w) < 1
@@ -306,14 +357,15 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     model.weight, model.bias = w[:-1], float(w[-1])
     # The logistic curve: on documents, by Newton's method, with a prior that keeps it finite.
     worst = np.concatenate([model.worst(*C.utf8(pa.array(texts[a : a + 64], pa.large_string()))) for a in range(0, len(texts), 64)])
-    z, t = np.stack([worst, np.ones(len(worst))], 1), np.array(labels, float)
+    z, t = np.hstack([worst, np.ones((len(worst), 1))]), np.array(labels, float)
     t = np.where(t > 0, 1 - 1 / (2 + t.sum()), 1 / (2 + (1 - t).sum()))
-    v = np.array([1.0, 0.0])
+    v = np.array([1.0, 0.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
+        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(3)
         v = v - np.clip(np.linalg.solve(h, z.T @ (p - t) + 1e-3 * v), -2, 2)
-    model.slope, model.shift = float(v[0]), float(v[1])
+        v[:2] = np.maximum(v[:2], 0)  # worse never scores lower
+    model.slope, model.shift = v[:2], float(v[2])
     del model.room
     model._forget()
     return model

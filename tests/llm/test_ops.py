@@ -321,6 +321,26 @@ def test_toxicity(spark):
     assert kept.columns == df.columns and n + 1 not in by_id(kept) and n in by_id(kept) and by_id(kept)[n]["doc"] == "clash"
 
 
+def test_toxicity_of_beginnings_shared_with_ordinary_words():
+    """Every ending is a word of its own, so no longer beginning tells; one such word is ordinary, two in a sentence are toxic."""
+    rng = random.Random(5)
+    ending = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(4))
+
+    def text(stems):
+        lines = [rng.choices(VOCAB, k=12) for _ in range(5)]
+        line = rng.choice(lines)
+        line[1 : 2 * len(stems) : 2] = [s + ending() for s in stems]
+        return ". ".join(" ".join(x) for x in lines)
+
+    def corpus(n):
+        return [text(["achlich", "achlich"]) if k % 4 == 0 else text(["achlich"] if k % 4 == 1 else []) for k in range(n)], [int(k % 4 == 0) for k in range(n)]
+
+    model = toxicity.fit(*corpus(800))
+    texts, labels = corpus(200)
+    got = model.scores(*C.utf8(pa.array(texts, pa.large_string()))) >= 0.5
+    assert (got == np.array(labels)).mean() >= 0.97
+
+
 def test_quality_classifier(spark):
     rows, labels = labelled_corpus(12, ["x"], n=600)
     df = frame(spark, [*rows, None, ""])
