@@ -194,6 +194,13 @@ def critical_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return critical_paths(g, roots, 6).select("root", "depth")
 
 
+@query()
+def critical_path_len_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """critical_path_len for every entry point, by one traversal."""
+    g = P.sparse(spark, sf_dir)
+    return critical_paths(g, FlowQuery(g).entrypoints().to_df(), 6).select("root", "depth")
+
+
 @query(f"{S}, {REACH_SQL} SELECT a, b FROM reach")
 def reachable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterate.reach(P.sparse(spark, sf_dir).edges)

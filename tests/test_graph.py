@@ -158,3 +158,23 @@ def test_policies(spark):
     assert rows(assemble.compose_policies(g.nodes, clash, strict=False), "visibility") == [("hidden",), ("hidden",)]
     with pytest.raises(Exception, match="disagree"):
         assemble.compose_policies(g.nodes, clash).collect()
+
+
+def test_critical_path_len_of_every_entry_point(spark):
+    from conftest import SMALL
+
+    from graphloom.plans import projections
+    from graphloom.plans.registry import QUERIES
+
+    g = projections.sparse(spark, SMALL)
+    after, ids = {}, {r["id"] for r in g.nodes.select("id").collect()}
+    for r in g.edges.select("src", "dst").collect():
+        after.setdefault(r["src"], set()).add(r["dst"])
+    want = {}
+    for root in ids - {x for part in after.values() for x in part}:
+        seen, near, depth = {root}, {root}, 0
+        while depth < 6 and (near := {b for a in near for b in after.get(a, ())} - seen):
+            seen |= near
+            depth += 1
+        want[root] = depth
+    assert len(want) > 1 and {r["root"]: r["depth"] for r in QUERIES["critical_path_len_all"].run(spark, SMALL).collect()} == want
