@@ -39,6 +39,13 @@ def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.round(scalar.entropy(F.substring("text", 1, 60)), 4).alias("bits"))
 
 
+@query("""WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark), f AS (SELECT item_id, ch, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT item_id, sum(n) AS total FROM f GROUP BY 1)
+SELECT item_id, round(sum(-(n / total) * log2(n / total)), 4) AS bits FROM f JOIN t USING (item_id) GROUP BY item_id""")
+def text_entropy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_entropy of whole texts."""
+    return P.table(spark, sf_dir, "benchmark").select("item_id", F.round(scalar.entropy(F.col("text")), 4).alias("bits"))
+
+
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "documents").select("doc_id", search.token_estimate(F.col("text")).alias("tokens"))

@@ -143,3 +143,19 @@ def test_streams(spark, tmp_path):
     assert E.replay(batch, lambda df: seen.extend(df.collect()), start=2.0) == 2 and [r["timestamp"] for r in seen] == [2.0, 3.0]
     E.start_append(stream, str(tmp_path / "copy"), str(tmp_path / "cp2")).awaitTermination(120)
     assert E.read_log(spark, str(tmp_path / "copy")).count() == 4
+
+
+def test_entropy_of_whole_texts(spark):
+    from collections import Counter
+    from math import log2
+
+    from conftest import SMALL
+
+    from graphloom.plans import projections
+    from graphloom.plans.registry import QUERIES
+
+    got = {r["item_id"]: r["bits"] for r in QUERIES["text_entropy_whole"].run(spark, SMALL).collect()}
+    texts = {r["item_id"]: r["text"] for r in projections.table(spark, SMALL, "benchmark").collect()}
+    assert got.keys() == texts.keys() and max(map(len, texts.values())) > 60
+    for k, text in texts.items():
+        assert abs(got[k] + sum(n / len(text) * log2(n / len(text)) for n in Counter(text).values())) < 1e-4
