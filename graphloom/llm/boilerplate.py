@@ -53,13 +53,26 @@ _NAMES = re.compile(
 )
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDES = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_PAIR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WHITE = re.compile(r"\s+")
 
 #: A block's zone.
 MAIN, PLAIN, CHROME = 0, 1, 2
 
 
+def hides(attributes: str) -> bool:
+    """Whether a start tag's attributes hide the element: by name, aria-hidden or style; the first of equal names counts."""
+    seen: set[str] = set()
+    for name, a, b, c in _PAIR.findall(attributes):
+        if (name := name.lower()) not in seen:
+            seen.add(name)
+            value = entities.unescape(a or b or c).strip()
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, zone) of every visible block in page order; spaces inside are single."""
     out: list[tuple[str, int]] = []
@@ -103,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             stack.pop()  # its end tag may be left out
             hidden, main, chrome = stack[-1][1:] if stack else (False, False, False)
         names = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(found[3])) if found[3] else ""
-        hidden = hidden or tag in _HIDDEN or bool(found[3] and _HIDES.search(found[3]))
+        hidden = hidden or tag in _HIDDEN or bool(found[3] and hides(found[3]))
         header_of_article = tag == "header" and main
         chrome = chrome or (tag in _CHROME and not header_of_article) or bool(names and tag not in _MAIN and tag not in ("body", "html") and _NAMES.search(names))
         main = main or tag in _MAIN or "main" in names.lower().split()

@@ -377,6 +377,13 @@ def test_kernel_against_brute_force():
 # ---- 9 HTML
 
 
+def test_html_hidden_only_by_its_own_attributes():
+    shown = ['<a href="/hidden-gems">', '<a href=/hidden>', '<p class="overflow-hidden">', "<p title='the hidden valley'>", '<p aria-hidden="false">', '<p data-hidden="x">', '<p title="display:none">', '<p data-x="aria-hidden=true">']
+    gone = ["<p hidden>", '<p HIDDEN="">', "<p class=a hidden=hidden>", '<p aria-hidden="true">', "<p aria-hidden = true>", '<p style="color:red; display : none">', "<p style=display:none>", "<p style='display:none!important'>"]
+    assert [[t for t, _ in boilerplate.blocks(f"<article>{tag}words")] for tag in shown] == [["words"]] * len(shown)
+    assert [boilerplate.blocks(f"<article>{tag}words") for tag in gone] == [[]] * len(gone)
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><a>Home</a></nav><div class='ad'>buy</div><article><h1>Head &amp; <b>bold</b></h1><p>one\n two<p>three<br>four<div class='comments'>bad</div><aside>no</aside></article><footer>&copy; x</footer></body></html>"
     menu = "<div>Home About Contact Us Now Today Here There</div>"
