@@ -7,8 +7,8 @@ unseen words have a vector too.  A document is the mean and spread of its words'
 mean change from word to word, with its length.  A network with one hidden layer, trained by Adam
 on the bounded sample, gives a logit; a temperature fitted on rows kept aside calibrates it.
 
-Fitting uses at most ``labelled.SAMPLE`` documents of each label and needs a few seconds on the
-driver; the model has a fixed size.  Scoring is one pass without a shuffle.
+Fitting uses the bounded sample of ``labelled`` and runs in one task of an executor; the model has a
+fixed size.  Scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text pools to zeros and gets the score of that vector; without both
 labels in the sample every score is the share of label 1 (0.5 without labels); repeated rows get
@@ -17,6 +17,7 @@ equal scores; an empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,8 +150,9 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel:
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 
-def _scored(model: QualityModel):
+def _scored(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(packed)
         for b in C.slices(batches, most=C.SLICE_BYTES // 2):
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(model.scores(*C.utf8(b.column("text"))))], schema=_OUT)
 
@@ -159,13 +161,14 @@ def _scored(model: QualityModel):
 
 def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; predicted is 1 from ``least`` on."""
-    model = fit(*labelled.sample(docs, labels, "quality"))
+    model = labelled.fitted(docs, labels, "quality", fit)
     rows = C.keyed_documents(docs).withColumn("held_out", labelled.held_out())
     return rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
-def _kept(model: QualityModel, least: float):
+def _kept(packed: bytes, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(packed)
         for b in C.slices(batches, most=C.SLICE_BYTES // 2):
             yield b.filter(pa.array(model.scores(*C.utf8(b.column("text"))) >= least))
 
@@ -174,5 +177,4 @@ def _kept(model: QualityModel, least: float):
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows, with all their columns, that score ``least`` or more."""
-    model = fit(*labelled.sample(docs, labels, "quality"))
-    return docs.mapInArrow(_kept(model, least), docs.schema)
+    return docs.mapInArrow(_kept(labelled.fitted(docs, labels, "quality", fit), least), docs.schema)

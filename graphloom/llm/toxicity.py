@@ -2,20 +2,23 @@
 
 The kernel counts common subsequences of ``ORDER`` letters of two words, each discounted by
 ``DECAY`` per letter that it spans in either, so inserted letters and gaps cost a little instead of
-everything; it looks ``SLACK`` letters beyond a landmark's length.  A word begins with ``^``; letters alone count, so symbols between them cost nothing,
-and single letters set apart are read as one word.  Landmarks are the word beginnings that best
-tell labelled toxic from other documents, chosen one after another for the documents that they add:
-those that tell by standing in a document, and those, shared with ordinary words, that tell only by
-standing in one sentence several times.  A sentence is, at each landmark, the largest kernel value
-of its words and the logarithm of what its other distinct words add to it, each mapped by the inverse root
-of the landmarks' own kernel matrix (Nystrom); a squared-hinge machine is trained on sentences of
-toxic documents that reach a landmark as often as it tells, once as they are and once with a letter
-put into each word, against sentences of other documents.  A document scores by its worst sentence and the one
-after it, through a logistic curve fitted on the sample.
-
-Fitting uses at most ``labelled.SAMPLE`` documents of each label.  Scoring is one pass without a
-shuffle: kernels are computed once per distinct word, and only where a word has all but at most one
-of a landmark's letters.
+everything.  It reads whole words; a word begins with ``^``; letters alone count, so symbols between
+them cost nothing, and single letters set apart are read as one word.
+
+Landmarks are pieces of the words of labelled sentences: word beginnings (with ``^``) that best tell
+toxic from other documents, chosen one after another for the documents that they add - those that
+tell by standing in a document, and those, shared with ordinary words, that tell only by standing in
+one sentence several times - and of these, without ``^``, those that tell at any place of a word, so
+that compounds count.  A sentence is, at each landmark, the largest kernel value of its words, the same
+where a near value counts as all, and the logarithm of what its other distinct words add to it, each
+mapped by the inverse root of the landmarks' own kernel matrix (Nystrom).  A squared-hinge machine is trained on sentences of toxic
+documents that reach a landmark as often as it tells, as they are and with letters put into, taken out
+of and put before every word, against sentences of other documents.  A document scores by its
+``WORST`` sentences, through a logistic curve fitted on the sample.
+
+Fitting uses the bounded sample of ``labelled`` and runs in one task of an executor.  Scoring is one
+pass without a shuffle: kernels are computed once per distinct word.  A pair of word and landmark is
+left out only if its kernel is zero: if they share no common subsequence of ``ORDER`` letters.
 
 Defined cases: a null or empty text has no sentence and gets the lowest score; without both labels
 in the sample, or without a telling landmark, every score is 0; repeated rows get equal scores; an
@@ -24,6 +27,7 @@ empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
@@ -41,16 +45,22 @@ ORDER, DECAY = 5, 0.8
 LANDMARKS, SHORTEST, LONGEST, LEAST_DOCS, IMPURE = 64, 4, 9, 4, 0.02
 #: Times in one sentence at which a beginning may tell.
 TIMES = (1, 2, 3)
-#: Letters that the kernel looks at beyond a landmark's own length.
-SLACK = 2
+#: Longer words are read in windows of so many letters, half a window apart; the largest value counts.
+LONG_WORD = 64
 #: Kernel values (as a share of a landmark's own) below this count as 0.
-FAINT = 0.3
+FAINT = 0.25
+#: Sentences by which a document scores.
+WORST = 3
+#: A value from which on a word may count like the landmark: three letters put in at one place.
+NEAR = 0.5
 #: Power of the values that are added up, so that many weak ones don't make a strong one.
 SHARP = 4
+#: Weight of all toxic sentences together in the machine's loss; the others have the rest.
+TOXIC_SHARE, RIDGE = 0.03, 1e-6
 #: Distinct words whose kernel values a worker remembers.
 REMEMBERED = 300_000
-#: Words whose kernel values the driver computes at once while fitting.
-FITTED_AT_ONCE = 20_000
+#: Words whose kernel values are computed at once.
+WORDS_AT_ONCE = 20_000
 
 _END = re.compile(r"[.!?](?=\s)|\n")
 _APART = re.compile(r"(?<![^\s])(?:[^\W\d_][\s.*_-]){3,}[^\W\d_](?![^\s])")
@@ -97,25 +107,18 @@ def _codes(words: list[str]) -> np.ndarray:
     return data.view(np.uint32).reshape(len(words), width)
 
 
-def _letters(words: list[str]) -> np.ndarray:
-    """A bit for each letter (by its code modulo 63) that a word has."""
-    codes = _codes(words)
-    bits = np.where(codes > 0, np.uint64(1) << (codes % 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
 class ToxicityModel:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.weight, self.bias, self.slope, self.shift = np.zeros(2 * len(landmarks)), 0.0, np.array([1.0, 0.0]), 0.0
+        self.weight, self.bias, self.slope, self.shift = np.zeros(3 * len(landmarks)), 0.0, np.zeros(WORST), 0.0
         if landmarks:
             self.own = kernel(landmarks, landmarks)
             self.codes = _codes(landmarks)
-            self.bits = _letters([x.strip("^") for x in landmarks])
+            self.size = np.array([len(x) for x in landmarks])
         self._forget()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "plain", "rows")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -124,7 +127,8 @@ class ToxicityModel:
     room = REMEMBERED
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, int] = {}  # as they stand in texts
+        self.plain: dict[str, int] = {}  # their letters
         self.rows: list[np.ndarray] = [np.zeros(len(self.landmarks), np.float32)]
 
     def word_values(self, words: list[str]) -> np.ndarray:
@@ -132,54 +136,78 @@ class ToxicityModel:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if not words or not self.landmarks:
             return out
-        size = np.array([len(x) for x in self.landmarks])
-        every = _codes(["^" + w[: LONGEST + SLACK] for w in words])
-        for own in np.unique(size):
-            group = np.flatnonzero(size == own)
-            codes = np.ascontiguousarray(every[:, : own + SLACK])
-            bits = np.where((codes > 0) & (codes != ord("^")), np.uint64(1) << (codes % 63).astype(np.uint64), np.uint64(0))
-            have = np.bitwise_or.reduce(bits, axis=1)
-            for a in range(0, len(words), 1 << 15):
-                p, k = np.nonzero(np.bitwise_count(self.bits[None, group] & ~have[a : a + (1 << 15), None]) <= 1)
-                p, k = p + a, group[k]
-                for b in range(0, len(p), 1 << 12):
-                    pp, kk = p[b : b + (1 << 12)], k[b : b + (1 << 12)]
-                    value = np.minimum(kernel_codes(codes[pp], self.codes[kk, :own]) / self.own[kk], 1)
-                    out[pp, kk] = np.where(value < FAINT, 0, value)
+        # Windows of long words; words of like length share a table of codes.
+        parts = [(k, w[a : a + LONG_WORD]) for k, word in enumerate(words) for w in (f"^{word}",) for a in range(0, max(1, len(w) - LONG_WORD // 2), LONG_WORD // 2)]
+        of = np.fromiter((k for k, _ in parts), np.int64, len(parts))
+        size = np.fromiter((len(w) for _, w in parts), np.int64, len(parts))
+        order = np.argsort(size, kind="stable")
+        for lo in range(0, len(order), WORDS_AT_ONCE):
+            some = order[lo : lo + WORDS_AT_ONCE]
+            codes = _codes([parts[k][1] for k in some])
+            for p, k in self._candidates(codes):
+                for own in np.unique(self.size[k]):
+                    mine = np.flatnonzero(self.size[k] == own)
+                    for b in range(0, len(mine), 1 << 12):
+                        pp, kk = p[mine[b : b + (1 << 12)]], k[mine[b : b + (1 << 12)]]
+                        value = np.minimum(kernel_codes(codes[pp], self.codes[kk, :own]) / self.own[kk], 1)
+                        np.maximum.at(out, (of[some[pp]], kk), np.where(value < FAINT, 0, value).astype(np.float32))
         return out
 
+    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, landmark) of all pairs whose longest common subsequence has ORDER letters; letters count by their code modulo 64, which only adds pairs."""
+        letter = (codes % 64).astype(np.int64)
+        has = np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << letter.astype(np.uint64), np.uint64(0)), axis=1)
+        for k in range(len(self.landmarks)):
+            own = self.codes[k, : self.size[k]]
+            bit = np.uint64(1) << (own % 64).astype(np.uint64)
+            p = np.flatnonzero(((has[:, None] & bit) > 0).sum(axis=1) >= ORDER)
+            if len(p):
+                # One bit for each letter of the landmark; bits that turn 0 count the subsequence's length.
+                at = np.zeros(65, np.uint16)
+                np.bitwise_or.at(at, own % 64, np.uint16(1) << np.arange(len(own), dtype=np.uint16))
+                rows = np.where(codes[p] > 0, letter[p], 64).T
+                row = np.full(len(p), 0xFFFF, np.uint16)
+                for column in rows:
+                    match = row & at.take(column)
+                    row = (row + match) | (row - match)
+                common = np.bitwise_count(~row & np.uint16((1 << len(own)) - 1))
+                p = p[common >= ORDER]
+                if len(p):
+                    yield p, np.full(len(p), k)
+
     def row(self, words: list[bytes]) -> np.ndarray:
         """Number of each word's row of values; row 0 is all zeros."""
         if len(self.known) > self.room:
             self._forget()
         new = [w for w in words if w not in self.known]
         plain = [normal(w.decode(errors="replace")) for w in new]
-        kinds = sorted(set(plain))
-        values = self.word_values(kinds)
-        at = dict.fromkeys(kinds, 0)
-        for k in np.flatnonzero(values.any(axis=1)):
-            at[kinds[k]] = len(self.rows)
-            self.rows.append(values[k].copy())  # a view would keep all values in memory
-        self.known.update(zip(new, map(at.__getitem__, plain), strict=True))
+        kinds = sorted({w for w in plain if w not in self.plain})
+        for a in range(0, len(kinds), WORDS_AT_ONCE):
+            some = kinds[a : a + WORDS_AT_ONCE]
+            values = self.word_values(some)
+            self.plain.update(dict.fromkeys(some, 0))
+            for k in np.flatnonzero(values.any(axis=1)):
+                self.plain[some[k]] = len(self.rows)
+                self.rows.append(values[k].copy())  # a view would keep all values in memory
+        self.known.update(zip(new, map(self.plain.__getitem__, plain), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     @staticmethod
     def summed(values: np.ndarray, head: np.ndarray) -> np.ndarray:
-        """Of the words from each head to the next: the largest value at each landmark, and the logarithm of 1 and the sum of the others' powers."""
+        """Of the words from each head to the next: the largest value at each landmark, the same where NEAR counts as all, and the logarithm of 1 and the sum of the others' powers."""
         most = np.maximum.reduceat(values, head)
-        return np.hstack([most, np.log1p(np.maximum(np.add.reduceat(values**SHARP, head) - most**SHARP, 0))])
+        return np.hstack([most, np.minimum(most / NEAR, 1), np.log1p(np.maximum(np.add.reduceat(values**SHARP, head) - most**SHARP, 0))])
 
     def features(self, values: np.ndarray) -> np.ndarray:
-        m = len(self.landmarks)
-        return np.hstack([values[:, :m] @ self.map, values[:, m:] @ self.map])
+        return np.hstack([part @ self.map for part in np.split(values, 3, axis=1)])
 
     def decide(self, values: np.ndarray) -> np.ndarray:
         return self.features(values) @ self.weight + self.bias
 
     def worst(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The decisions of each row's two worst sentences; in place of a missing one that of no value."""
-        lowest = self.decide(np.zeros((1, 2 * len(self.landmarks))))[0]
-        out = np.full((len(offsets) - 1, 2), lowest)
+        """The decisions of each row's worst sentences; in place of a missing one that of no value."""
+        lowest = self.decide(np.zeros((1, 3 * len(self.landmarks))))[0]
+        out = np.full((len(offsets) - 1, WORST), lowest)
         starts, ends, first = C.word_spans(raw, offsets)
         if not len(starts) or not self.landmarks:
             return out
@@ -194,33 +222,42 @@ class ToxicityModel:
         begin = np.append(True, stop[:-1])
         begin[first[:-1][first[:-1] < len(starts)]] = True
         sentence = np.cumsum(begin) - 1
+        rows, values = [], []
         hot = np.flatnonzero(code)
         if len(hot):
             table = np.stack(self.rows)
             # A word counts once in a sentence, so that lines of one word repeated don't add up.
             hot = hot[np.sort(np.unique(sentence[hot].astype(np.int64) * len(table) + code[hot], return_index=True)[1])]
             head = np.flatnonzero(np.append(True, sentence[hot][1:] != sentence[hot][:-1]))
-            value = self.decide(self.summed(table[code[hot]], head))
-            row = C.row_of(first, len(starts))[hot[head]]
+            for a in range(0, len(head), 1 << 12):  # the values of so many sentences at a time
+                end = head[a + (1 << 12)] if a + (1 << 12) < len(head) else len(hot)
+                some = hot[head[a] : end]
+                values.append(self.decide(self.summed(table[code[some]], head[a : a + (1 << 12)] - head[a])))
+            rows.append(C.row_of(first, len(starts))[hot[head]])
+        spelt = list(self._apart(raw, starts, ends, first))
+        if spelt:
+            values.append(np.array([self.decide(self.summed(self.word_values([w]), np.array([0])))[0] for _, w in spelt]))
+            rows.append(np.array([r for r, _ in spelt]))
+        if rows:
+            row, value = np.concatenate(rows), np.maximum(lowest, np.concatenate(values))
             order = np.lexsort((-value, row))
             row, value = row[order], value[order]
-            new = np.append(True, row[1:] != row[:-1])
-            second = np.append(False, new[:-1]) & ~new
-            out[row[new], 0] = np.maximum(lowest, value[new])
-            out[row[second], 1] = np.maximum(lowest, value[second])
-        for r in self._apart(raw, offsets):
-            text = raw[offsets[r] : offsets[r + 1]].tobytes().decode(errors="replace")
-            for found in _APART.findall(text):
-                value = self.decide(self.summed(self.word_values([normal(found)]), np.array([0])))[0]
-                out[r] = sorted([*out[r], value], reverse=True)[:2]
+            heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            nth = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
+            out[row[nth < WORST], nth[nth < WORST]] = value[nth < WORST]
         return out
 
     @staticmethod
-    def _apart(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
-        """Rows in which a run of single letters stands."""
-        data = raw.tobytes()
-        at = [m.start() for m in re.finditer(rb"(?<![^\s])(?:[^\W\d_][\s.*_-]){3,}[^\W\d_](?![^\s])", data)]
-        return sorted({int(r) for r in np.searchsorted(offsets, at, side="right") - 1}) if at else []
+    def _apart(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(row, word) of every run of single letters set apart."""
+        letters = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        short = np.concatenate([[False], letters[ends] - letters[starts] <= 2, [False]])
+        edge = np.flatnonzero(short[1:] != short[:-1]).reshape(-1, 2)  # runs of words of at most two characters
+        for a, b in edge[edge[:, 1] - edge[:, 0] >= 4].tolist():
+            text = raw[starts[a] : ends[b - 1]].tobytes().decode(errors="replace")
+            for found in _APART.finditer(text):
+                at = a + len(text[: found.start()].split())
+                yield int(np.searchsorted(first, at, side="right")) - 1, normal(found[0])
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not self.landmarks:
@@ -239,7 +276,7 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = LANDMARKS)
     for r, text in enumerate(texts):
         for part in [*sentences(text), *_APART.findall(text)]:
             own = [normal(part)] if _APART.fullmatch(part) else [normal(w) for w in part.split()]
-            codes.extend(number.setdefault(w[:LONGEST], len(number)) for w in own if w)
+            codes.extend(number.setdefault(w[a : a + LONG_WORD], len(number)) for w in own for a in range(0, len(w), LONG_WORD))
             places.extend([len(doc_of)] * (len(codes) - len(places)))
             doc_of.append(r)
     if not number:
@@ -267,7 +304,26 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = LANDMARKS)
                 name = "^" + str(short[first[g]])
                 if not any(name in found[fewer] for fewer in TIMES if fewer < times):
                     found[times][name] = frozenset(x for x in doc[ends[g] : ends[g + 1]].tolist() if y[x])
-    return [(name, times) for times in TIMES for name in _most_telling(list(found[times]), list(found[times].values()), most)]
+    chosen = [(name, times) for times in TIMES for name in _most_telling(list(found[times]), list(found[times].values()), most)]
+    return chosen + _anywhere(chosen, names, code, doc_of[place], y)
+
+
+def _anywhere(chosen: list[tuple[str, int]], names: list[str], code: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[tuple[str, int]]:
+    """Landmarks without their ^, where words that hold them at any place tell too."""
+    text, out = "\n".join(names), []
+    starts = np.append(0, np.cumsum([len(x) + 1 for x in names]))
+    order = np.argsort(code, kind="stable")
+    ends = np.searchsorted(code[order], np.arange(len(names) + 1))
+    for name, times in chosen:
+        piece = name[1:]
+        if times > 1 or len(piece) < ORDER:
+            continue
+        words = np.unique(np.searchsorted(starts, [m.start() for m in re.finditer(re.escape(piece), text)], side="right") - 1)
+        docs = np.unique(np.concatenate([doc[order[ends[w] : ends[w + 1]]] for w in words]))
+        toxic, other = y[docs].sum() / max(1, y.sum()), (1 - y[docs]).sum() / max(1, (1 - y).sum())
+        if other <= IMPURE * toxic:
+            out.append((piece, 1))
+    return out
 
 
 def _most_telling(names: list[str], docs: list[frozenset], most: int) -> list[str]:
@@ -286,13 +342,19 @@ def _most_telling(names: list[str], docs: list[frozenset], most: int) -> list[st
     return chosen
 
 
-def _blurred(text: str, rng: np.random.RandomState) -> str:
-    """The text with a letter put into every word of four letters or more."""
+def _changed(text: str, how: int, rng: np.random.RandomState, tells, free: re.Pattern | None) -> str:
+    """The text with every longer word that ``tells`` changed: a letter or three put in, a letter taken out, or letters put before it if it tells at any place."""
     out = []
     for w in text.split():
-        if len(w) >= 4:
-            k = rng.randint(1, len(w) - 1)
-            w = w[:k] + chr(97 + rng.randint(26)) + w[k:]
+        if tells(w):
+            k = rng.randint(1, max(2, len(w) - 1))
+            more = "".join(chr(97 + x) for x in rng.randint(26, size=(1, 3, 0, 4)[how]))
+            if how < 2 and len(w) >= 4:
+                w = w[:k] + more + w[k:]
+            elif how == 2 and len(w) >= 6:
+                w = w[:k] + w[k + 1 :]
+            elif how == 3 and free and free.search(normal(w)):
+                w = more + w
         out.append(w)
     return " ".join(out)
 
@@ -314,38 +376,48 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     rows, target, nothing = [], [], 0
     model.room = 1 << 40  # the sample's words are all kept while fitting
     plain = [sentences(x) for x in texts]
-    blurred = [[_blurred(x, rng) for x in part] if y else [] for part, y in zip(plain, labels, strict=True)]
-    every = sorted({w.encode() for side in (plain, blurred) for part in side for x in part for w in x.split()})
-    for a in range(0, len(every), FITTED_AT_ONCE):
-        model.row(every[a : a + FITTED_AT_ONCE])
-    del every
-    table = np.stack(model.rows)
+    free = [re.escape(x) for x in model.landmarks if not x.startswith("^")]
+    free = re.compile("|".join(free)) if free else None
+
+    def learn(parts) -> np.ndarray:
+        every = sorted({w.encode() for part in parts for x in part for w in x.split()})
+        model.row(every)
+        return np.stack(model.rows)
+
+    table = learn(plain)
 
     def of(part: list[str]) -> np.ndarray:
         codes = [list(dict.fromkeys(c for w in x.split() if (c := model.known[w.encode()]))) or [0] for x in part]
-        return model.summed(table[np.concatenate(codes)], np.cumsum([0, *map(len, codes[:-1])])) if codes else np.zeros((0, 2 * m), np.float32)
+        return model.summed(table[np.concatenate(codes)], np.cumsum([0, *map(len, codes[:-1])])) if codes else np.zeros((0, 3 * m), np.float32)
 
-    for part, blur, y in zip(plain, blurred, labels, strict=True):
+    toxic = []
+    for part, y in zip(plain, labels, strict=True):
         value = of(part)
         if y:
-            hit = np.flatnonzero((value[:, :m] ** SHARP + np.expm1(value[:, m:]) > 0.9 * times).any(axis=1))
+            hit = np.flatnonzero((value[:, :m] ** SHARP + np.expm1(value[:, 2 * m :]) > 0.9 * times).any(axis=1))
             if len(hit):
-                rows += [value[hit], of([blur[k] for k in hit])]
-                target.append(np.ones(2 * len(hit)))
+                rows.append(value[hit])
+                target.append(np.ones(len(hit)))
+                toxic += [part[k] for k in hit]
         elif len(value):
             some = value[value.any(axis=1)]
             rows.append(some)
             target.append(np.zeros(len(some)))
             nothing += len(value) - len(some)
+    changed = [[_changed(x, how, rng, lambda w: model.known[w.encode()], free) for x in toxic] for how in range(4)]
+    table = learn(changed)
+    for part in changed:
+        rows.append(of(part))
+        target.append(np.ones(len(part)))
     # Sentences of no value are all alike: one row stands for them.
-    rows.append(np.zeros((1, 2 * m), np.float32))
+    rows.append(np.zeros((1, 3 * m), np.float32))
     target.append(np.zeros(1))
     x, y = model.features(np.concatenate(rows)), np.concatenate(target) * 2 - 1
     copies = np.append(np.ones(len(y) - 1), nothing)
-    # Squared hinge, both sides weighted alike, by Newton's method.
+    # Squared hinge, by Newton's method.
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    each = copies * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, copies[y < 0].sum()))
-    w, ridge = np.zeros(2 * m + 1), 1e-4 * np.eye(2 * m + 1)
+    each = copies * np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, copies[y < 0].sum()))
+    w, ridge = np.zeros(3 * m + 1), RIDGE * np.eye(3 * m + 1)
     ridge[-1, -1] = 1e-8
     for _ in range(20):
         inside = y * (x1 @ w) < 1
@@ -355,17 +427,24 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
             break
         w = new
     model.weight, model.bias = w[:-1], float(w[-1])
-    # The logistic curve: on documents, by Newton's method, with a prior that keeps it finite.
+    # The logistic curve, by Newton's method with a prior that keeps it finite: on documents, and on
+    # toxic sentences that stand alone, which together count as much as the toxic documents.
     worst = np.concatenate([model.worst(*C.utf8(pa.array(texts[a : a + 64], pa.large_string()))) for a in range(0, len(texts), 64)])
-    z, t = np.hstack([worst, np.ones((len(worst), 1))]), np.array(labels, float)
-    t = np.where(t > 0, 1 - 1 / (2 + t.sum()), 1 / (2 + (1 - t).sum()))
-    v = np.array([1.0, 0.0, 0.0])
+    alone = np.full((len(toxic), WORST), model.decide(np.zeros((1, 3 * m)))[0])
+    if toxic:
+        alone[:, 0] = np.maximum(alone[:, 0], model.decide(of(toxic)))
+    z = np.hstack([np.concatenate([worst, alone]), np.ones((len(worst) + len(alone), 1))])
+    t = np.append(np.array(labels, float), np.ones(len(alone)))
+    count = np.append(np.ones(len(worst)), np.full(len(alone), sum(labels) / max(1, len(alone))))
+    sure = (count * t).sum(), (count * (1 - t)).sum()
+    t = np.where(t > 0, 1 - 1 / (2 + sure[0]), 1 / (2 + sure[1]))
+    v = np.append(1.0, np.zeros(WORST))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(3)
-        v = v - np.clip(np.linalg.solve(h, z.T @ (p - t) + 1e-3 * v), -2, 2)
-        v[:2] = np.maximum(v[:2], 0)  # worse never scores lower
-    model.slope, model.shift = v[:2], float(v[2])
+        h = (z * (count * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(WORST + 1)
+        v = v - np.clip(np.linalg.solve(h, z.T @ (count * (p - t)) + 1e-3 * v), -2, 2)
+        v[:-1] = np.maximum(v[:-1], 0)  # worse never scores lower
+    model.slope, model.shift = v[:-1], float(v[-1])
     del model.room
     model._forget()
     return model
@@ -374,8 +453,9 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 
-def _scored(model: ToxicityModel):
+def _scored(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(packed)
         for b in C.slices(batches):
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(model.scores(*C.utf8(b.column("text"))))], schema=_OUT)
 
@@ -384,13 +464,14 @@ def _scored(model: ToxicityModel):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; predicted is 1 from ``least`` on."""
-    model = fit(*labelled.sample(docs, labels, "toxic"))
+    model = labelled.fitted(docs, labels, "toxic", fit)
     rows = C.keyed_documents(docs).withColumn("held_out", labelled.held_out())
     return rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
-def _kept(model: ToxicityModel, least: float):
+def _kept(packed: bytes, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(packed)
         for b in C.slices(batches):
             yield b.filter(pa.array(model.scores(*C.utf8(b.column("text"))) < least))
 
@@ -399,5 +480,4 @@ def _kept(model: ToxicityModel, least: float):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score below ``least``."""
-    model = fit(*labelled.sample(docs, labels, "toxic"))
-    return docs.mapInArrow(_kept(model, least), docs.schema)
+    return docs.mapInArrow(_kept(labelled.fitted(docs, labels, "toxic", fit), least), docs.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm import boilerplate, idcodec, jaccard, media, packing, quality_model, quality_rules, rlz, spm, tokens, toxicity
+from graphloom.llm import boilerplate, idcodec, jaccard, labelled, media, packing, quality_model, quality_rules, rlz, spm, tokens, toxicity
 from graphloom.llm import common as C
 from graphloom.llm.components import components
 
@@ -345,6 +345,37 @@ def test_toxicity(spark):
     assert kept.columns == df.columns and n + 1 not in by_id(kept) and n in by_id(kept) and by_id(kept)[n]["doc"] == "clash"
 
 
+def test_toxicity_reads_whole_words():
+    """Compounds, three letters put in, and a letter taken out."""
+    rng = random.Random(21)
+    insult = ["moronic", "disgusting", "pathetic"]
+    texts = [". ".join(" ".join([*rng.choices(VOCAB, k=8), *([rng.choice(insult)] if k % 4 == 0 and j % 2 else []), *rng.choices(VOCAB, k=4)]) for j in range(6)) for k in range(400)]
+    model = toxicity.fit(texts, [int(k % 4 == 0) for k in range(400)])
+    bad = ["moronic", "supermoronic", "moxronic", "moxyzronic", "mo-ro-nic", "moronc", "disxyzgusting", "overlydisgustingly", "pathxyzetic", "unpathetically", "q" * 200 + "moronic", "d i s g u s t i n g"]
+    good = ["w1", "motor", "path", "gusting", "x" * 300, "a b c d e f", "é è ê ü ö"]
+    score = lambda words: model.scores(*C.utf8(pa.array([f"w3 w4 {w} w5 w6. w7 w8." for w in words], pa.large_string())))
+    assert score(bad).min() >= 0.5 and score(good).max() < 0.5
+
+
+def test_pairs_are_left_out_only_where_the_kernel_is_zero():
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 90))) for _ in range(300)]
+    model = toxicity.ToxicityModel(["^abcde", "bcdea", "^eeabcd", "éabcdé"])
+    codes = toxicity._codes(["^" + w for w in words])
+    kept = {(int(p), int(k)) for some, marks in model._candidates(codes) for p, k in zip(some, marks, strict=True)}
+    for k, mark in enumerate(model.landmarks):
+        value = toxicity.kernel(["^" + w for w in words], [mark] * len(words))
+        assert {p for p in range(len(words)) if value[p] > 0} == {p for p, j in kept if j == k}
+
+
+def test_sample_is_one_row_per_document(spark):
+    df = frame(spark, ["b", "a", "c", "d" * 50, None], [1, 1, 2, 3, None])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = {(r["doc_id"], r["text"], r["y"]) for r in labelled.sample(df, labels, "toxic").collect()}
+    assert got == {x for x in ((1, "a", 1), (2, "c", 0), (3, "d" * 50, 0)) if zlib.crc32(str(x[0]).encode()) % 5}
+    assert all(len(r["text"]) < 50 for r in labelled.sample(df, labels, "toxic", chars=10).collect())
+
+
 def test_toxicity_of_beginnings_shared_with_ordinary_words():
     """Every ending is a word of its own, so no longer beginning tells; one such word is ordinary, two in a sentence are toxic."""
     rng = random.Random(5)
