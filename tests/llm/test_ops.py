@@ -450,22 +450,59 @@ def test_html(spark):
     assert boilerplate.extract(df.limit(0)).count() == 0
 
 
-def test_repeats_against_brute_force():
+def test_ranks_against_brute_force():
     rng = random.Random(13)
-    streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 25))] for _ in range(8)]
-    pages, length = [0, 1, 2, 3, 3, 4, 5, 6], 3
-    seen = {}
-    for s, p in zip(streams, pages, strict=True):
-        for k in range(len(s) - length + 1):
-            seen.setdefault(tuple(s[k : k + length]), set()).add(p)
-    mask = []
-    for s in streams:
-        own = [False] * len(s)
-        for k in range(len(s) - length + 1):
-            if len(seen[tuple(s[k : k + length])]) >= 2:
-                own[k : k + length] = [True] * length
-        mask += own
-    assert boilerplate.repeats(streams, pages, length).tolist() == mask
+    streams = [[rng.choice("abc") for _ in range(rng.randrange(1, 25))] for _ in range(8)]
+    tokens = np.array([ord(x) for s in streams for x in s])
+    stream = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    for length in (1, 2, 3, 5, 8):
+        starts = [tuple(s[k : k + length]) for s in streams for k in range(len(s))]
+        got = boilerplate.ranks(tokens, stream, length).tolist()
+        assert all((x == y) == (i == j) for x, i in zip(starts, got, strict=True) for y, j in zip(starts, got, strict=True))
+
+
+def prose_page(rng, *, before="", notice="", after="", body=None):
+    body = body or "".join(f"<p>{' '.join(rng.choices(VOCAB, k=40))}</p>" for _ in range(3))
+    return f"<html><body>{before}<article><h1>{' '.join(rng.choices(VOCAB, k=6))}</h1>{body}{notice}</article>{after}</body></html>", body
+
+
+def words_of(html):
+    return " ".join(re.sub("<[^>]*>", " ", html).split())
+
+
+@pytest.mark.parametrize("group", [512, 2, 1])
+def test_html_repeats_decide(spark, group):
+    """Where tags alone fail: a notice inside every article, a repeated and a unique paragraph beside it; the same for any size of groups."""
+    rng = random.Random(31)
+    notice, promo = "<p>Sign up today and get every story in your box</p>", " ".join(rng.choices(VOCAB, k=30))
+    rows, want = [], {}
+    for k in range(12):
+        own = " ".join(rng.choices(VOCAB, k=30))
+        html, body = prose_page(rng, notice=notice, after=f"<div>{promo if k in (3, 8) else own}</div>")
+        title = re.search("<h1>(.*?)</h1>", html)[1]
+        want[k] = " ".join([title, words_of(body), *([own] if k not in (3, 8) else [])])
+        rows.append((k, "http://a.test/x", html))
+    copied = "".join(f"<p>{' '.join(rng.choices(VOCAB, k=10))}</p>" for _ in range(4))
+    for k in range(20, 28):  # copies of one article of short paragraphs under other titles
+        html, body = prose_page(rng, body=copied)
+        want[k] = re.search("<h1>(.*?)</h1>", html)[1] + " " + words_of(body)
+        rows.append((k, "http://b.test/y", html))
+    html, body = prose_page(rng, before="<div>One unique menu of words that stands alone</div>")
+    want[40] = words_of(html.split("</div>")[1])
+    rows += [(40, "http://c.test/z", html)] * 3  # repeated rows are one page
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = boilerplate.extract(df, group=group).collect()
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_html_broken_and_long():
+    import time
+
+    began = time.perf_counter()
+    for bad in ("<a " * 350_000, "<a href='x " * 100_000, "<div>" * 200_000 + "</p>" * 200_000, "<" * 1_000_000, "<!--" * 250_000, "x " * 500_000):
+        boilerplate.blocks("<article>kept</article>" + bad)
+    assert time.perf_counter() - began < 60
+    assert boilerplate.blocks("<article><p title=it's>Hello 1 < 2 &lt;b&gt;<p a=\"x>y\" b='>'>there") == [("Hello 1 < 2 <b>", 0), ("there", 0)]
 
 
 def test_pipeline(spark):
