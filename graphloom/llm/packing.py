@@ -9,7 +9,7 @@ per pattern) is packed best fit, and the pieces, ranked within their class, take
 patterns by arithmetic on their rank.  Padding is what rounding to classes leaves, about
 ``WIDTH / 2`` ids a rest.
 
-Ranks come from counts per (block of documents, class), so no class is gathered in one task.
+Ranks come from counts per (block of pieces, class), so no class is gathered in one task.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are packed each by itself;
 a null doc_id is carried as null; an empty table gives no rows; other columns are ignored.
@@ -34,7 +34,7 @@ GAP, MOST_COLUMNS = 0.001, 3000
 #: Ids that a length class spans; divides the capacity.
 WIDTH = 8
 #: Pieces in a block of documents, about.
-BLOCK_PIECES = 50_000
+BLOCK_PIECES = 4096
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
@@ -179,9 +179,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
     counts = {r["kind"]: r["n"] for r in pieces.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # capacity / WIDTH rows at most
     kinds = np.array(sorted(counts), np.int64)
     plan = layout(kinds, np.array([counts[int(x)] for x in kinds], np.int64), capacity // WIDTH)
-    blocks = max(1, sum(counts.values()) // BLOCK_PIECES)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
-    within = F.row_number().over(Window.partitionBy("block", "kind").orderBy("doc_id", "start")) - 1
+    # Blocks and ranks follow from all of a piece's columns, so a task that runs again ranks alike; pieces that tie are the same.
+    blocks = -(-sum(counts.values()) // BLOCK_PIECES) or 1
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(*own), F.lit(blocks)).cast("int"))
+    within = F.row_number().over(Window.partitionBy("block", "kind").orderBy(*own)) - 1
     per_block = dealt.groupBy("block", "kind").agg(F.count("*").alias("n"))
     before = per_block.select("block", "kind", (F.sum("n").over(Window.partitionBy("kind").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     ranked = dealt.withColumn("within", within).join(before, ["block", "kind"]).withColumn("rank", F.col("within") + F.col("before"))

@@ -279,6 +279,21 @@ def test_packing(spark):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_packing_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 3)
+    path, texts = P.path("byte_bpe_50k.json"), ["one two", "one two", "other " * 2000, None, "x", "x"]
+    rows = packing.pack(frame(spark, texts, [7, 7, 7, 7, None, None]), path).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(places) == len(rows) and sum(r["start"] == 0 for r in rows) == 6 and sum(r["doc_id"] is None for r in rows) == 2
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+
+
+def test_token_files_of_repeated_and_null_ids(spark):
+    rows = idcodec.round_trip(frame(spark, ["b", "a", "a", None], [7, 7, None, None]), P.path("word_bpe_49k.json"), end=2).collect()
+    assert sorted(r["start"] for r in rows) == np.append(0, np.cumsum([r["n_tokens"] for r in sorted(rows, key=lambda r: r["start"])]))[:-1].tolist()
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])] == [None, None, 7, 7]
+
+
 def test_cutting_stock_is_near_its_bound():
     lengths, need = np.unique(np.random.default_rng(1).integers(1, 33, 20000), return_counts=True)
     plan = packing.layout(lengths, need, 32)
