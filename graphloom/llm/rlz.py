@@ -3,10 +3,11 @@
 Every document is cut, by its own words, into overlapping *reference blocks*: each window of
 ``window`` words picks its smallest k-gram as anchor, and neighbouring windows with one anchor
 form a block.  Equal passages hold equal blocks wherever they stand, so an index of all blocks of
-the corpus (block hash -> earliest place) lets each document be factored greedily: a block seen
-earlier is copied whole, neighbouring copies grow into one factor, and a factor of ``window``
-words or more is a duplicate span.  Only blocks at factor boundaries (their anchor is known
-elsewhere, with other surroundings) are checked window by window.
+the corpus (block hash -> earliest place) lets each document be factored greedily from left to right:
+a block seen earlier starts a factor (source document, source start, length), blocks that go on from
+there in the same source extend it, and a factor of ``window`` words or more is a duplicate span.
+Only blocks at factor boundaries (their anchor is known elsewhere, with other surroundings) are
+checked window by window; windows seen earlier are factors of their own or extend one.
 
 Why this is exact: a window seen earlier either lies in a block seen earlier, or in the first
 copy of a block whose anchor has other blocks too; exactly the latter have their windows compared.
@@ -39,8 +40,9 @@ ANCHOR = 5
 #: Text bytes over which a task joins equal blocks before it sends them.
 GROUP_BYTES = 48 << 20
 
-_ROWS = pa.schema([("a", pa.int64()), ("s", pa.int64()), ("alone", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
-_ROWS_SQL = "a long, s long, alone long, doc long, lo int, n int, again boolean"
+#: A block: anchor, hash, place and windows; a block that its task saw earlier has that place as its source.
+_ROWS = pa.schema([("a", pa.int64()), ("s", pa.int64()), ("alone", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("at", pa.int32())])
+_ROWS_SQL = "a long, s long, alone long, doc long, lo int, n int, source long, at int"
 
 
 def blocks(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
@@ -77,7 +79,8 @@ def _first_of_task(a, s, doc, lo, n) -> pa.RecordBatch:
     same = (doc == doc[head]) & (lo == lo[head])
     again = ~same
     alone = np.where(again, doc * 31 + lo + 1, 0)  # seen rows are dealt out by document, not by block
-    return pa.record_batch([a.view(np.int64), s.view(np.int64), alone, doc, lo.astype(np.int32), n.astype(np.int32), again], schema=_ROWS)
+    source, at = (pa.array(x, mask=same) for x in (doc[head], lo[head].astype(np.int32)))
+    return pa.record_batch([a.view(np.int64), s.view(np.int64), alone, doc, lo.astype(np.int32), n.astype(np.int32), source, at], schema=_ROWS)
 
 
 def _gathered(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +144,34 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, np.cumsum(sizes)), flat
 
 
+def _spans(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, lo, n, source, at) of a column of lists of spans; a null list is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.drop_null().flatten()
+    return np.repeat(np.arange(len(sizes)), sizes), *(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "n", "source", "at"))
+
+
 def _decided(rows: DataFrame) -> DataFrame:
-    """For each row whether its (a, s) has an earlier place (again), and whether its anchor has other blocks (other)."""
+    """For each row the earlier place of its (a, s), if it has one (source, at), and whether its anchor has other blocks (other)."""
     place = F.struct("doc", "lo")
     by_anchor, by_block = Window.partitionBy("a", "alone"), Window.partitionBy("a", "alone", "s")
-    return rows.select(
-        "doc", "lo", "n",
-        (F.col("again") | (place > F.min(place).over(by_block))).alias("again"),
-        (F.min("s").over(by_anchor) != F.max("s").over(by_anchor)).alias("other"),
-    )
+    first = F.min(place).over(by_block)
+    seen = F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("doc"), F.col("at").alias("lo"))).when(place > first, first)
+    found = rows.select("doc", "lo", "n", seen.alias("seen"), (F.min("s").over(by_anchor) != F.max("s").over(by_anchor)).alias("other"))
+    return found.select("doc", "lo", "n", F.col("seen.doc").alias("source"), F.col("seen.lo").alias("at"), "other")
+
+
+def factors(row: np.ndarray, lo: np.ndarray, size: np.ndarray, source: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, length, source document, source start) of each factor: blocks in order, each extending the one before it where it goes on in the same source."""
+    order = np.lexsort((size, lo, row))
+    row, lo, size, source, at = row[order], lo[order], size[order], source[order], at[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (at[1:] - lo[1:] != at[:-1] - lo[:-1]) | (lo[1:] > (lo + size)[:-1])
+    head = np.flatnonzero(new)
+    end = np.maximum.reduceat(lo + size, head) if len(head) else lo
+    return row[head], lo[head], end - lo[head], source[head], at[head]
 
 
 def _covered(first: np.ndarray, n_words: int, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -165,12 +187,11 @@ def _kept_rows(columns: tuple[str, ...], window: int):
         for b in C.slices(batches):
             raw, offsets = C.utf8(b.column("text"))
             starts, ends, first = C.word_spans(raw, offsets)
-            gone = np.zeros(len(starts), dtype=bool)
-            for name in ("copied", "single"):
-                base, flat = _lists(b.column(name))
-                row = np.repeat(np.arange(len(base) - 1), np.diff(base))
-                if len(flat):
-                    gone |= _covered(first, len(starts), row, flat >> 20, (flat >> 20) + (flat & 0xFFFFF) + window - 1)
+            found = [_spans(b.column(name)) for name in ("copied", "single")]
+            row, lo, n, source, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            row, lo, size, _, _ = factors(row, lo, n + window - 1, source, at)
+            gone = _covered(first, len(starts), row, lo, lo + size)
+            n_factors = np.bincount(row, minlength=b.num_rows)
             n_words = np.diff(first)
             total = np.append(0, np.cumsum(gone))
             removed = total[first[1:]] - total[first[:-1]]
@@ -185,7 +206,7 @@ def _kept_rows(columns: tuple[str, ...], window: int):
             at = to[np.searchsorted(kept, first)]
             text = [flat[x : max(x, y - 1)].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
             cols = {
-                "doc_id": b.column("doc_id"), "n_words": n_words.astype(np.int64), "n_removed": removed.astype(np.int64),
+                "doc_id": b.column("doc_id"), "n_factors": n_factors.astype(np.int64), "n_words": n_words.astype(np.int64), "n_removed": removed.astype(np.int64),
                 "kept_sha256": [hashlib.sha256(x).hexdigest() for x in text], "kept_text": pa.array([x.decode() for x in text], pa.string()),
             }
             if "row" in columns:
@@ -195,30 +216,30 @@ def _kept_rows(columns: tuple[str, ...], window: int):
     return run
 
 
-_OUT = {"doc_id": T.LongType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
+_OUT = {"doc_id": T.LongType(), "n_factors": T.LongType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, columns: tuple[str, ...] = ("doc_id", "n_words", "n_removed", "kept_sha256")) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, columns: tuple[str, ...] = ("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")) -> DataFrame:
     """Words covered by a window of ``window`` words that also starts earlier are removed.
 
-    One row per input row.  ``columns`` may also name kept_text (the words left, joined by one
-    space) and row (a struct of the input row's columns).
+    One row per input row.  n_factors counts the factors of its parse.  ``columns`` may also name
+    kept_text (the words left, joined by one space) and row (a struct of the input row's columns).
     """
     carried = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     kinds = T.StructType([T.StructField(c, docs.schema if c == "row" else _OUT[c]) for c in columns])
     docs = C.keyed_documents(docs, carried).withColumn("doc", F.coalesce("doc_id", F.lit(-(2**62))))
     rows = docs.select("doc", "text").mapInArrow(_block_rows(window, anchor), _ROWS_SQL)
-    found = _decided(rows).where("again or other")
-    span = F.shiftleft(F.col("lo").cast("long"), 20).bitwiseOR(F.col("n").cast("long"))
+    found = _decided(rows).where("source is not null or other")
+    span = F.struct("lo", "n", "source", "at")
     per_doc = found.groupBy("doc").agg(
-        F.collect_list(F.when(F.col("again"), span)).alias("copied"),
-        F.collect_list(F.when(~F.col("again"), F.col("lo").cast("long"))).alias("pending"),
+        F.collect_list(F.when(F.col("source").isNotNull(), span)).alias("copied"),
+        F.collect_list(F.when(F.col("source").isNull(), F.col("lo").cast("long"))).alias("pending"),
     )
     per_doc = C.materialize(per_doc, "rlz-factors")
     text = docs.select("doc", "text")
     open_ends = per_doc.where(F.size("pending") > 0).select("doc", "pending")
     edge = text.join(open_ends, "doc").select("doc", "text", "pending").mapInArrow(_boundary_rows(window, anchor), _ROWS_SQL)
-    singles = _decided(edge).where("again").groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 20).bitwiseOR(F.lit(1).cast("long"))).alias("single"))
+    singles = _decided(edge).where("source is not null").groupBy("doc").agg(F.collect_list(span).alias("single"))
     keep = ["doc_id", "text", "copied", "single"] + ["row"] * ("row" in columns)
     joined = docs.join(per_doc.select("doc", "copied"), "doc", "left").join(singles, "doc", "left").select(*keep)
     return joined.mapInArrow(_kept_rows(columns, window), kinds)

@@ -80,6 +80,15 @@ def test_substrings_against_brute_force(spark, monkeypatch):
         assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == windows(texts)
 
 
+def test_factors_are_copies_of_earlier_text(spark):
+    row, lo, size, source, at = rlz.factors(*(np.array(x) for x in ([0, 0, 0, 1, 0], [5, 20, 60, 5, 44], [20, 25, 20, 20, 20], [9, 9, 9, 9, 8], [105, 120, 160, 105, 0])))
+    assert list(zip(*(x.tolist() for x in (row, lo, size, source, at)), strict=True)) == [(0, 5, 40, 9, 105), (0, 44, 20, 8, 0), (0, 60, 20, 9, 160), (1, 5, 20, 9, 105)]
+    rng = random.Random(41)
+    one, two = prose(rng, 90), prose(rng, 70)
+    got = by_id(rlz.dedup_substrings(frame(spark, [one, two, f"{prose(rng, 7)} {one} {prose(rng, 9)} {two}", prose(rng, 50)])))
+    assert [got[i]["n_factors"] for i in range(4)] == [0, 0, 2, 0] and got[2]["n_removed"] == 160
+
+
 def test_substrings_edges(spark):
     assert rlz.dedup_substrings(empty(spark)).count() == 0
     text = prose(random.Random(2), 30)
