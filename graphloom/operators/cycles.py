@@ -14,9 +14,9 @@ def severity(size: Column, classes: Column) -> Column:
     return F.when(classes == 1, "INFO").when(size >= 11, "CRITICAL").when(size >= 6, "HIGH").when(size >= 3, "MEDIUM").otherwise("LOW")
 
 
-def cycles(graph: DependencyGraph, closure: DataFrame | None = None) -> DataFrame:
+def cycles(graph: DependencyGraph) -> DataFrame:
     """A10: cycle_id (least member), nodes (sorted), size, severity, reason; self-loops are no cycles."""
-    members = iterate.strong_components(graph.edges, closure)
+    members = iterate.strong_components(graph.edges)
     grouped = members.groupBy(F.col("component").alias("cycle_id")).agg(F.sort_array(F.collect_list("id")).alias("nodes"), F.count("*").alias("size"), F.count_distinct(class_of(F.col("id"))).alias("classes"))
     reason = F.when(F.col("classes") == 1, "intra-class mutual recursion").otherwise(F.concat(F.lit("cycle of "), F.col("size").cast("string"), F.lit(" nodes")))
     return grouped.select("cycle_id", "nodes", "size", severity(F.col("size"), F.col("classes")).alias("severity"), reason.alias("reason"))

@@ -2,15 +2,30 @@
 
 Every round's state is written to the shared folder (storage.cut), so plans stay short and a lost
 executor costs one round.
+
+Components, ancestor counts and layers first shrink the graph with joins; what is left is solved by
+one task as soon as it has at most ``LOCAL`` edges, which bounds that task's memory.  Larger rests go
+on in rounds of joins, so every size is solved whole and alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.storage import cut
 
+#: Edges of a graph that one task solves, at most (16 bytes each).
+LOCAL = 4_000_000
+#: Rounds in which vertices without callers or callees are left out before components are sought.
+TRIMS = 3
+#: Sources whose reach one task marks, as bits beside each vertex.
+BITS = 1024
+
 DOWN, UP, BOTH = "downstream", "upstream", "both"
 
 
@@ -36,14 +51,17 @@ def bfs(steps: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     parts, frontier = [found], found
     for depth in range(1, max_depth + 1):
         reach = frontier.select("root", F.col("id").alias("a"), F.col("ord").alias("po"), "path").join(steps, "a")
-        for seen in parts:
-            reach = reach.join(seen.select("root", F.col("id").alias("b")), ["root", "b"], "left_anti")
+        reach = reach.join(_union(parts).select("root", F.col("id").alias("b")), ["root", "b"], "left_anti")
         first = reach.groupBy("root", "b").agg(F.min(F.struct("po", "rank", "edge_seq", "a", "path")).alias("s"))
         order = Window.partitionBy("root").orderBy("s.po", "s.rank", "s.edge_seq", "b")
         frontier = cut(first.select("root", F.col("b").alias("id"), F.lit(depth).alias("depth"), F.col("s.a").alias("parent"), F.row_number().over(order).alias("ord"), F.concat("s.path", F.array("b")).alias("path")), "visited")
         if frontier.isEmpty():
             break
         parts.append(frontier)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -69,35 +87,237 @@ def reach(edges: DataFrame) -> DataFrame:
     return known
 
 
-def strong_components(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """K-SCC: (component, id) of every strongly connected component of two vertices or more.
+def _numbered(edges: DataFrame) -> DataFrame:
+    """Distinct (a, b) of 64-bit hashes of the ids, without self-loops."""
+    return edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")).where("a <> b").distinct()
+
+
+def _in_one_task(edges: DataFrame, solve: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """solve(a, b) over all edges in a single task; edges are LOCAL at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")] for b in batches]
+        if held:
+            yield pa.RecordBatch.from_pydict(solve(*(np.concatenate(c) for c in zip(*held, strict=True))))
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, schema)
+
+
+def _tarjan(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """(component, id) of the components of two vertices or more; a component is named by its least member."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    order = np.argsort(x, kind="stable")
+    first, to = np.searchsorted(x[order], np.arange(len(ids) + 1)).tolist(), y[order].tolist()
+    seen, low, on, stack, found, clock = [0] * len(ids), [0] * len(ids), [False] * len(ids), [], [], 0
+    for root in range(len(ids)):
+        if seen[root]:
+            continue
+        work = [(root, first[root])]
+        while work:
+            v, k = work.pop()
+            if not seen[v]:
+                clock += 1
+                seen[v] = low[v] = clock
+                on[v] = True
+                stack.append(v)
+            elif k > first[v]:
+                low[v] = min(low[v], low[to[k - 1]]) if on[to[k - 1]] else low[v]
+            while k < first[v + 1]:
+                w = to[k]
+                k += 1
+                if not seen[w]:
+                    work += [(v, k), (w, first[w])]
+                    break
+                if on[w]:
+                    low[v] = min(low[v], seen[w])
+            else:
+                if low[v] == seen[v]:
+                    members = []
+                    while not members or members[-1] != v:
+                        members.append(stack.pop())
+                        on[members[-1]] = False
+                    if len(members) > 1:
+                        found.append(members)
+    least = [min(m) for m in found]
+    return {"component": ids[[c for c, m in zip(least, found, strict=True) for _ in m]] if found else ids[:0], "id": ids[[w for m in found for w in m]] if found else ids[:0]}
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose source is called and whose target calls: others are on no cycle."""
+    called, calls = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+    return cut(edges.join(called, "a", "left_semi").join(calls, "b", "left_semi").select("a", "b"), "trim")
+
+
+def _colour_round(edges: DataFrame) -> DataFrame:
+    """(component, id) of one component for each colour: the least vertex that reaches a vertex is its colour, and the colour's own component walks back to it."""
+    colour = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")), "colour")
+    while True:
+        pushed = edges.join(colour.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("c").alias("m"))
+        new = cut(colour.join(pushed, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "colour")
+        moved = not new.where("moved").isEmpty()
+        colour = new.select("v", "c")
+        if not moved:
+            break
+    same = cut(edges.join(colour.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")), "colour")
+    found = cut(colour.where("v = c").select("v", "c"), "colour")
+    frontier = found
+    while not frontier.isEmpty():
+        back = same.join(frontier.select(F.col("v").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("v"), "c").distinct()
+        frontier = cut(back.join(found, ["v", "c"], "left_anti"), "colour")
+        found = cut(found.union(frontier), "colour")
+    return found.select(F.col("c").alias("component"), F.col("v").alias("id"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """K-SCC: (component, id) of every strongly connected component of two vertices or more, named by its least id.
 
-    Only vertices on a closed walk can be in one, so the mutual pairs are joined over them alone.
+    A graph of at most LOCAL edges is solved in one task.  From a larger one, vertices that nothing
+    calls or that call nothing are trimmed, and rounds of colouring take components out until it is small.
     """
-    pairs = reach(edges) if closure is None else closure
-    looped = pairs.where("a = b").select(F.col("a").alias("v"))
-    inner = pairs.where("a <> b").join(looped.withColumnRenamed("v", "a"), "a", "left_semi").join(looped.withColumnRenamed("v", "b"), "b", "left_semi")
-    back = inner.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    mutual = inner.join(back, ["a", "b"])
-    return mutual.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).select("component", F.col("a").alias("id"))
+    rest, parts = cut(_numbered(edges), "trim"), []
+    size = rest.count()
+    for _ in range(TRIMS):
+        if size <= LOCAL:
+            break
+        rest = _trimmed(rest)
+        size = rest.count()
+    while size > LOCAL:
+        found = cut(_colour_round(rest), "colour")
+        parts.append(found)
+        left = rest.join(found.select(F.col("id").alias("a")), "a", "left_anti").join(found.select(F.col("id").alias("b")), "b", "left_anti")
+        rest = _trimmed(left)
+        size = rest.count()
+    if size:
+        parts.append(cut(_in_one_task(rest, _tarjan, "component long, id long"), "components"))
+    ids = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct().withColumn("id", F.xxhash64("name"))
+    if not parts:
+        return ids.where("false").select(F.col("name").alias("component"), F.col("name").alias("id"))
+    many = _union(parts).withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1")
+    named = cut(many.join(ids, "id").select("component", "name"), "components")
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    return named.join(least, "component").select(F.col("least").alias("component"), F.col("name").alias("id"))
+
+
+def _levels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each vertex of 0..n-1 the most edges on a path that ends in it; -1 on and after cycles."""
+    level, waiting = np.zeros(n, np.int64), np.bincount(b, minlength=n)
+    order = np.argsort(a, kind="stable")
+    first, to = np.searchsorted(a[order], np.arange(n + 1)), b[order]
+    front, depth, done = np.flatnonzero(waiting == 0), 0, np.zeros(n, bool)
+    while len(front):
+        level[front], done[front] = depth, True
+        sizes = first[front + 1] - first[front]
+        hit = to[np.repeat(first[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        np.subtract.at(waiting, hit, 1)
+        front, depth = np.unique(hit[waiting[hit] == 0]), depth + 1
+    return np.where(done, level, -1)
+
+
+def _mark(a: np.ndarray, b: np.ndarray, ids: np.ndarray, weight: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, weight of those of the block's BITS sources, themselves left out, that reach it) over an acyclic graph of indices into ids."""
+    n = len(ids)
+    level = _levels(n, a, b)
+    sources = np.unique(a)[block * BITS : (block + 1) * BITS]
+    marks = np.zeros((n, BITS // 64), np.uint64)
+    place = np.arange(len(sources))
+    marks[sources, place // 64] = np.uint64(1) << (place % 64).astype(np.uint64)
+    order = np.lexsort((b, level[b]))
+    a, b = a[order], b[order]
+    bounds = np.flatnonzero(np.append(True, level[b][1:] != level[b][:-1])) if len(b) else np.zeros(0, np.int64)
+    for x, y in zip(bounds, np.append(bounds[1:], len(b)), strict=True):
+        heads = np.flatnonzero(np.append(True, b[x + 1 : y] != b[x : y - 1]))
+        target = b[x:y][heads]
+        marks[target] |= np.bitwise_or.reduceat(marks[a[x:y]], heads, axis=0)
+    own = weight[sources]
+    if (own == 1).all():
+        total = np.bitwise_count(marks).sum(axis=1).astype(np.int64)
+    else:
+        bits = np.unpackbits(marks.view(np.uint8), axis=1, bitorder="little")[:, : len(sources)]
+        total = bits @ own
+    total[sources] -= own
+    hit = np.flatnonzero(total)
+    return hit, total[hit]
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(id, n): how many other ids a path leads from to this one; ids without any are left out.
+
+    Components are contracted first, so the graph is acyclic and its vertices weigh what they hold.
+    With at most LOCAL edges left, tasks mark BITS sources each over the whole graph (sent to them,
+    as its size is bounded) and the marks are added up: no pair of vertices is ever a row.  Larger
+    graphs are counted from the pairs of the condensation.
+    """
+    members = strong_components(edges)
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    vertex = ids.join(members, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    weight = vertex.groupBy("component").agg(F.count("*").alias("w"))
+    x, y = vertex.select(F.col("id").alias("src"), F.col("component").alias("a")), vertex.select(F.col("id").alias("dst"), F.col("component").alias("b"))
+    links = cut(edges.select("src", "dst").join(x, "src").join(y, "dst").where("a <> b").select("a", "b").distinct(), "condensed")
+    n = links.count()
+    if n <= LOCAL:
+        above = _marked(links, weight, n)
+    else:
+        pairs = reach(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        above = pairs.join(weight.withColumnRenamed("component", "a"), "a").groupBy(F.col("b").alias("component")).agg(F.sum("w").alias("n"))
+    every = vertex.join(weight, "component").join(above, "component", "left").select("id", (F.coalesce("n", F.lit(0).cast("long")) + F.col("w") - 1).alias("n"))
+    return every.where("n > 0")
+
+
+def _marked(links: DataFrame, weight: DataFrame, n: int) -> DataFrame:
+    """(component, n): the weight of the components above each, by marks in tasks; links are n."""
+    spark = links.sparkSession
+    size = links.agg(F.count_distinct("a")).first()[0] if n > BITS else n  # vertices with a callee are the sources
+    if not size:
+        return weight.select("component", F.lit(0).cast("long").alias("n")).where("false")
+    heavy = weight.where("w > 1").select(F.xxhash64("component").alias("v"), "w")
+    graph = links.agg(F.collect_list(F.struct(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))).alias("e")).crossJoin(heavy.agg(F.collect_list(F.struct("v", "w")).alias("h")))  # two single rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                e, h = (batch.column(c).slice(k, 1).flatten() for c in ("e", "h"))
+                a, b, v, w = (x.field(c).to_numpy(zero_copy_only=False) for x, c in ((e, "a"), (e, "b"), (h, "v"), (h, "w")))
+                ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+                each = np.ones(len(ids), np.int64)
+                known = np.isin(v, ids)
+                each[np.searchsorted(ids, v[known])] = w[known]
+                hit, n = _mark(ends[: len(a)], ends[len(a) :], ids, each, batch.column("block")[k].as_py())
+                yield pa.RecordBatch.from_pydict({"v": ids[hit], "n": n})
+
+    blocks = -(-size // BITS)
+    marks = spark.range(blocks, numPartitions=blocks).toDF("block").crossJoin(F.broadcast(graph)).mapInArrow(run, "v long, n long")  # graph is one row of at most LOCAL edges
+    names = weight.select("component", F.xxhash64("component").alias("v"))
+    return marks.groupBy("v").agg(F.sum("n").alias("n")).join(names, "v").select("component", "n")
+
+
+def _layers_in_task(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    level = _levels(len(ids), ends[len(a) :], ends[: len(a)])
+    return {"v": ids, "layer": (level + 1).astype(np.int32)}
 
 
 def peel(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """K-PEEL: (id, layer): layer n has the ids whose callees are all in earlier layers; null: none ever is.
 
-    Callees come first; self-loops don't count; edges to ids outside the scope don't either.
+    Callees come first; self-loops don't count; edges to ids outside the scope don't either.  With
+    more than LOCAL edges, layers are taken off one after another until the rest is small.
     """
     inside = edges.select("src", "dst").where("src <> dst").distinct().join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    open_edges, rest, layers, n = cut(inside, "peel"), cut(ids.select("id").distinct(), "peel"), [], 1
-    while True:
+    open_edges, rest, layers, n = cut(inside, "peel"), cut(ids.select("id").distinct(), "peel"), [], 0
+    while open_edges.count() > LOCAL:
         layer = cut(rest.join(open_edges.select(F.col("src").alias("id")), "id", "left_anti"), "peel")
         if layer.isEmpty():
             break
+        n += 1
         layers.append(layer.withColumn("layer", F.lit(n)))
         rest = cut(rest.join(layer, "id", "left_anti"), "peel")
         open_edges = cut(open_edges.join(layer.select(F.col("id").alias("dst")), "dst", "left_anti"), "peel")
-        n += 1
-    out = rest.withColumn("layer", F.lit(None).cast("int"))
-    for layer in layers:
-        out = out.union(layer.select("id", "layer"))
-    return out
+    if open_edges.count() > LOCAL:  # every id left is on a cycle or above one
+        solved = rest.select("id", F.lit(None).cast("int").alias("layer"))
+    else:
+        found = _in_one_task(_numbered(open_edges), _layers_in_task, "v long, layer int")
+        known = rest.withColumn("v", F.xxhash64("id")).join(cut(found, "peel"), "v", "left")
+        # Without an edge left an id is free at once; 0 stands for ids that never are.
+        solved = known.select("id", F.when(F.col("layer").isNull(), n + 1).when(F.col("layer") > 0, F.col("layer") + n).cast("int").alias("layer"))
+    return _union([solved, *(layer.select("id", "layer") for layer in layers)])

@@ -103,3 +103,60 @@ def devops(inconsistencies: DataFrame) -> DataFrame:
     t = F.lower("type")
     stage = F.when(t.contains("schema"), "build").when(t.contains("contract"), "test").when(t.contains("breaking"), "deploy").otherwise("test")
     return inconsistencies.groupBy(stage.alias("stage")).agg(F.count(F.when(F.col("severity") == "high", 1)).alias("blockers"), F.count(F.when(F.col("severity") == "medium", 1)).alias("risks"))
+
+
+# ---- catalogue rollups (L28) and what is looked up in them
+
+
+def catalogue_services(nodes: DataFrame, services: DataFrame) -> DataFrame:
+    """Per service (name, root) its nodes, files, classes and languages; a node belongs to the deepest root above its file."""
+    parts = F.split(F.regexp_replace("file", "^/+", ""), "/")
+    above = nodes.select("id", "class", "file", "language", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("depth", "root"))
+    roots = services.select(F.col("name").alias("service"), F.regexp_replace(F.rtrim("root", F.lit("/")), "^/+", "").alias("root"))
+    owned = above.join(roots, "root").groupBy("id", "class", "file", "language").agg(F.max_by("service", F.struct("depth", "service")).alias("service"))
+    counts = owned.groupBy("service").agg(F.count("*").alias("nodes"), F.count_distinct("file").alias("files"), F.count_distinct("class").alias("classes"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+    names = services.select(F.col("name").alias("service")).distinct()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return names.join(counts, "service", "left").select("service", zero("nodes"), zero("files"), zero("classes"), F.coalesce("languages", F.lit("")).alias("languages"))
+
+
+def catalogue_entrypoints(entries: DataFrame, samples: int = 5) -> DataFrame:
+    """Entry points (service, entry_type, id) by service and type, with the first ids by name."""
+    nth = F.row_number().over(Window.partitionBy("service", "entry_type").orderBy("id"))
+    rows = entries.withColumn("k", nth)
+    first = rows.where(F.col("k") <= samples).groupBy("service", "entry_type").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("samples"))
+    return entries.groupBy("service", "entry_type").agg(F.count("*").alias("n")).join(first, ["service", "entry_type"])
+
+
+def catalogue_boundaries(edges: DataFrame) -> DataFrame:
+    """Per pair of services (from, to, type, count) the kinds of calls that cross, and how many."""
+    crossing = edges.where("`from` <> `to`")
+    return crossing.groupBy("from", "to").agg(F.sum("count").alias("calls"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+
+
+def integration_points(edges: DataFrame) -> DataFrame:
+    """Services by how many others they call and are called by; the node that calls is not kept."""
+    crossing = edges.where("`from` <> `to`").select("from", "to").distinct()
+    out = crossing.groupBy(F.col("from").alias("service")).agg(F.count("*").alias("calls"))
+    into = crossing.groupBy(F.col("to").alias("service")).agg(F.count("*").alias("called_by"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.join(into, "service", "full_outer").select("service", zero("calls"), zero("called_by"), F.lit(None).cast("string").alias("from_node"))
+
+
+def lookup_service(services: DataFrame, boundaries: DataFrame, name: str) -> DataFrame:
+    """A service's row beside what it calls and what calls it: (service, direction, other, calls)."""
+    known = services.where(F.lower("service") == name.lower()).select("service")
+    out = boundaries.join(known, boundaries["from"] == known["service"]).select("service", F.lit("out").alias("direction"), F.col("to").alias("other"), "calls")
+    into = boundaries.join(known, boundaries["to"] == known["service"]).select("service", F.lit("in"), F.col("from"), "calls")
+    return out.union(into)
+
+
+def lookup_boundary(boundaries: DataFrame, a: str, b: str) -> DataFrame:
+    """The calls between two services, in either direction."""
+    ends = [a.lower(), b.lower()]
+    return boundaries.where(F.lower("from").isin(*ends) & F.lower("to").isin(*ends))
+
+
+def lookup_path(paths: DataFrame, needle: str, limit: int = 20) -> DataFrame:
+    """Critical paths (root, depth, path) that a name takes part in, longest first (a top-k report)."""
+    return paths.where(F.lower("path").contains(needle.lower())).orderBy(F.col("depth").desc(), "root").limit(limit)

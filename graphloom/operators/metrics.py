@@ -17,10 +17,9 @@ def fans(graph: DependencyGraph) -> DataFrame:
     return graph.nodes.join(ins, "id", "left").join(outs, "id", "left").select(*graph.nodes.columns, zero("fan_in"), zero("fan_out"))
 
 
-def blast_radius(graph: DependencyGraph, closure: DataFrame | None = None) -> DataFrame:
+def blast_radius(graph: DependencyGraph) -> DataFrame:
     """(id, blast_radius): distinct ids from which a path leads to the node, itself left out."""
-    pairs = iterate.reach(graph.edges) if closure is None else closure
-    counted = pairs.where("a <> b").groupBy(F.col("b").alias("id")).agg(F.count("*").alias("blast_radius"))
+    counted = iterate.ancestors(graph.edges).withColumnRenamed("n", "blast_radius")
     return graph.nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("blast_radius", F.lit(0).cast("long")).alias("blast_radius"))
 
 
@@ -40,11 +39,11 @@ def complexity_score(fan_in: Column, fan_out: Column, blast: Column) -> Column:
     return F.least(F.lit(100), F.floor(fan_in * 2 + fan_out * 3 + F.coalesce(blast, F.lit(0)) * F.lit(0.5).cast("double"))).cast("long")
 
 
-def node_metrics(graph: DependencyGraph, with_blast: bool = True, closure: DataFrame | None = None) -> DataFrame:
+def node_metrics(graph: DependencyGraph, with_blast: bool = True) -> DataFrame:
     """M8: id, node_seq, class, type, fan_in, fan_out, blast_radius, risk, complexity, coupling."""
     f = fans(graph)
     if with_blast:
-        f = f.join(blast_radius(graph, closure), "id")
+        f = f.join(blast_radius(graph), "id")
     else:
         f = f.withColumn("blast_radius", F.lit(None).cast("long"))
     i, o, b = F.col("fan_in"), F.col("fan_out"), F.col("blast_radius")

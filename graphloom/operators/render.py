@@ -78,3 +78,27 @@ def orphan_report(found: DataFrame, rows: int = 200) -> str:
             lines.append(f"== {r['level']} ==")
         lines.append(f"{r['percent']:3d} % {r['id']}: {r['reason']}")
     return "\n".join(lines)
+
+
+def context_diagram(edges: DataFrame, title: str, rows: int = 100) -> str:
+    """K6: services (from, to, type, count) as a C4 context diagram."""
+    found = edges.orderBy("from", "to", "type").limit(rows).collect()
+    names = _names([x for r in found for x in (r["from"], r["to"])])
+    quoted = lambda x: _label(x)
+    return "\n".join(["C4Context", f"  title {title}", *(f"  System({n}, {quoted(x)})" for x, n in names.items()), *(f"  Rel({names[r['from']]}, {names[r['to']]}, {quoted(r['type'])})" for r in found)])
+
+
+def hotspots_json(found: DataFrame, rows: int = 200) -> str:
+    """K7: hotspots (id, risk, complexity, fan_in, fan_out) by level, most complex first."""
+    shown = found.orderBy(F.col("complexity").desc(), "id").limit(rows).collect()
+    levels: dict[str, list[dict]] = {}
+    for r in shown:
+        levels.setdefault(r["risk"], []).append({k: r[k] for k in ("id", "complexity", "fan_in", "fan_out")})
+    return json.dumps({"total": len(shown), "levels": levels}, ensure_ascii=False)
+
+
+def graph_page(edges: DataFrame, title: str, rows: int = 300) -> str:
+    """K7: a page that draws distinct edges (src, dst); it needs nothing but a browser with the diagram script at hand."""
+    import html
+
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><pre class='mermaid'>{html.escape(flowchart(edges, rows))}</pre></body></html>"

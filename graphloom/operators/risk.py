@@ -33,30 +33,32 @@ def level_of(score: Column) -> Column:
     return F.when(score <= 25, "LOW").when(score <= 50, "MEDIUM").when(score <= 75, "HIGH").otherwise("CRITICAL")
 
 
-def change_risk(graph: DependencyGraph, closure: DataFrame | None = None, custom=()) -> DataFrame:
-    """A14, A15 for every node: cycles and violations that touch it, score and level."""
-    closure = iterate.reach(graph.edges) if closure is None else closure
-    m = M.node_metrics(graph, closure=closure)
-    cycles = CY.cycles_of(CY.cycles(graph, closure)).groupBy("id").agg(F.count("*").alias("cycle_count"))
+def change_risk(graph: DependencyGraph, custom=(), complexities: DataFrame | None = None) -> DataFrame:
+    """A14, A15 for every node: cycles and violations that touch it, score and level.
+
+    complexities (id, cyclomatic) come from a parser; without them every code has none.
+    """
+    m = M.node_metrics(graph)
+    cycles = CY.cycles_of(CY.cycles(graph)).groupBy("id").agg(F.count("*").alias("cycle_count"))
     v = L.violations(graph, custom)
     touched = v.select(F.col("src").alias("id")).union(v.where("src <> dst").select("dst")).groupBy("id").agg(F.count("*").alias("violation_count"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    rows = m.join(cycles, "id", "left").join(touched, "id", "left").select(*m.columns, zero("cycle_count"), zero("violation_count"), F.lit(0).cast("long").alias("cyclomatic"))
+    known = complexities if complexities is not None else graph.nodes.select("id", F.lit(0).cast("long").alias("cyclomatic"))
+    rows = m.join(cycles, "id", "left").join(touched, "id", "left").join(known, "id", "left").select(*m.columns, *map(zero, ("cycle_count", "violation_count", "cyclomatic")))
     score = risk_score({n: F.col(n) for n in WEIGHTS})
     return rows.withColumn("score", score).withColumn("level", level_of(F.col("score")))
 
 
-def refactor_safety(graph: DependencyGraph, closure: DataFrame | None = None) -> DataFrame:
+def refactor_safety(graph: DependencyGraph) -> DataFrame:
     """A16 for every node: how much a refactoring of it touches.
 
     Affected are its distinct direct callers and callees; cycles and violations count once each when
     any of their members is affected or the node itself.
     """
-    closure = iterate.reach(graph.edges) if closure is None else closure
     near = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(graph.edges.select("dst", "src")).distinct()
     affected = near.groupBy("id").agg(F.count("*").alias("affected"))
     scope = near.union(graph.nodes.select("id", F.col("id").alias("other"))).distinct()
-    members = CY.cycles_of(CY.cycles(graph, closure)).select(F.col("id").alias("other"), "cycle_id")
+    members = CY.cycles_of(CY.cycles(graph)).select(F.col("id").alias("other"), "cycle_id")
     cyc = scope.join(members, "other").groupBy("id").agg(F.count_distinct("cycle_id").alias("cycles"))
     v = L.violations(graph).select("src", "dst")
     ends = v.select(F.col("src").alias("other"), "src", "dst").union(v.select("dst", "src", "dst"))

@@ -1,7 +1,8 @@
 """Snapshots and cached reports as Parquet folders (K1-K3, K9, ETL11, ETL13).
 
-A report of a label is the folder ``label=<label>/report=<report>``.  It is written beside its place
-and renamed, so readers see a report whole or not at all.
+A report of a label is a folder ``label=<label>/report=<report>`` of versions.  A version is written
+beside its place and renamed to the next number, so readers see a report whole; older versions go only
+after the new one stands, so a crash at any time leaves the old report or the new one.
 """
 
 from __future__ import annotations
@@ -25,20 +26,33 @@ class SnapshotStore:
     def _at(self, label: str, report: str | None = None) -> str:
         return f"{self.root}/label={label}" + (f"/report={report}" if report else "")
 
+    def _versions(self, label: str, report: str) -> list[int]:
+        place = self._path(self._at(label, report))
+        if not self._fs.exists(place):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(place))
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
     def save(self, label: str, report: str, df: DataFrame) -> None:
         """Replaces a report."""
-        beside, place = f"{self.root}/_part-{uuid.uuid4().hex}", self._path(self._at(label, report))
+        beside, place = f"{self.root}/_part-{uuid.uuid4().hex}", self._at(label, report)
         df.write.parquet(beside)
-        self._fs.mkdirs(place.getParent())
-        self._fs.delete(place, True)
-        if not self._fs.rename(self._path(beside), place):
+        self._fs.mkdirs(self._path(place))
+        old = self._versions(label, report)
+        new = (old[-1] if old else 0) + 1
+        if not self._fs.rename(self._path(beside), self._path(f"{place}/version={new}")):
             raise OSError(f"cannot put a report at {place}")
+        for n in old:
+            self._fs.delete(self._path(f"{place}/version={n}"), True)
 
     def load(self, label: str, report: str) -> DataFrame:
-        return self.spark.read.parquet(self._at(label, report))
+        found = self._versions(label, report)
+        if not found:
+            raise FileNotFoundError(self._at(label, report))
+        return self.spark.read.parquet(f"{self._at(label, report)}/version={found[-1]}")
 
     def exists(self, label: str, report: str) -> bool:
-        return self._fs.exists(self._path(self._at(label, report)))
+        return bool(self._versions(label, report))
 
     def save_graph(self, label: str, graph: DependencyGraph) -> None:
         """K1."""

@@ -185,18 +185,11 @@ def subgraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subgraph_ids(g, start(g), 5)
 
 
-@query(f"""{S}, roots AS (SELECT id FROM nodes WHERE node_seq % 50 = 0 AND id NOT IN (SELECT dst FROM edges)),
+@query(f"""{S}, roots AS (SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges)),
 walk AS (SELECT id AS root, id, 0 AS depth FROM roots UNION SELECT root, e.dst, depth + 1 FROM walk JOIN edges e ON e.src = walk.id WHERE depth < 6),
 near AS (SELECT root, id, min(depth) AS depth FROM walk GROUP BY root, id) SELECT root, max(depth)::INTEGER AS depth FROM near GROUP BY root""")
 def critical_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = P.sparse(spark, sf_dir)
-    roots = FlowQuery(g).entrypoints().to_df().where("node_seq % 50 = 0")
-    return critical_paths(g, roots, 6).select("root", "depth")
-
-
-@query()
-def critical_path_len_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """critical_path_len for every entry point, by one traversal."""
+    """For every entry point, by one traversal."""
     g = P.sparse(spark, sf_dir)
     return critical_paths(g, FlowQuery(g).entrypoints().to_df(), 6).select("root", "depth")
 

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from graphloom.plans import event_queries, graph_queries, service_queries, text_queries  # noqa: E402, F401
+from graphloom.plans import assembly_queries, event_queries, graph_queries, service_queries, source_queries, text_queries  # noqa: E402, F401

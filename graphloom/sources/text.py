@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import entropy, strip_comments, url_kind, url_parts
+from graphloom.sources.php_routes import routes, script_calls  # noqa: F401
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
@@ -35,34 +36,6 @@ def blade_edges(files: DataFrame, namespace: str = "App\\Http\\Livewire") -> Dat
     return found.select(F.concat(F.lit("blade:"), "path").alias("src"), F.concat("target", F.lit("::"), F.col("m")[0]).alias("dst"), F.col("m")[0].alias("method"), F.lit("wire_action").alias("type")).distinct()
 
 
-_VERBS = "get|post|put|patch|delete|options|any"
-# What a resource route stands for: verb, ending of the path, action. The parameter is the name without a final s.
-_RESOURCE = (("GET", "", "index"), ("GET", "/create", "create"), ("POST", "", "store"), ("GET", "/{p}", "show"), ("GET", "/{p}/edit", "edit"), ("PUT", "/{p}", "update"), ("DELETE", "/{p}", "destroy"))
-_API = ("index", "store", "show", "update", "destroy")
-
-
-def routes(files: DataFrame) -> DataFrame:
-    """SRC11: (path, method, uri, controller, action) of route files; resources count as seven routes, API resources as five."""
-    uses = _found(files.select("path", "content"), "content", r"(?m)^use\s+([A-Za-z0-9_\\]+)(?:\s+as\s+([A-Za-z0-9_]+))?;", 2)
-    alias = F.when(F.col("m")[1] != "", F.col("m")[1]).otherwise(F.substring_index(F.col("m")[0], "\\", -1))
-    imports = uses.select("path", alias.alias("name"), F.col("m")[0].alias("fqn")).groupBy("path", "name").agg(F.max("fqn").alias("fqn"))
-    base = files.select("path", "content")
-    q = r"['\"]([^'\"]+)['\"]"
-    pairs = _found(base, "content", rf"(?i)Route\s*::\s*({_VERBS}|match)\s*\(\s*{q}\s*,\s*\[\s*([A-Za-z0-9_\\]+)\s*::\s*class\s*,\s*{q}\s*\]", 4)
-    legacy = _found(base, "content", rf"(?i)Route\s*::\s*({_VERBS}|match)\s*\(\s*{q}\s*,\s*['\"]([A-Za-z0-9_\\]+)@([A-Za-z0-9_]+)['\"]\s*\)", 4)
-    plain = pairs.union(legacy).select("path", F.upper(F.col("m")[0]).alias("method"), F.col("m")[1].alias("uri"), F.col("m")[2].alias("name"), F.col("m")[3].alias("action"))
-    res = _found(base, "content", rf"(?i)Route\s*::\s*(resource|apiResource)\s*\(\s*{q}\s*,\s*([A-Za-z0-9_\\]+)\s*::\s*class\s*\)", 3)
-    kinds = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(t).alias("t"), F.lit(a).alias("a")) for v, t, a in _RESOURCE))
-    api = F.lower(F.col("m")[0]) == "apiresource"
-    each = res.select("path", "m", F.explode(F.filter(kinds, lambda k: ~api | k["a"].isin(*_API))).alias("k"))
-    uri = F.concat(F.col("m")[1], F.replace(F.col("k.t"), F.lit("{p}"), F.concat(F.lit("{"), F.rtrim(F.col("m")[1], F.lit("s")), F.lit("}"))))
-    resources = each.select("path", F.col("k.v").alias("method"), uri.alias("uri"), F.col("m")[2].alias("name"), F.col("k.a").alias("action"))
-    known = plain.union(resources).join(imports, ["path", "name"], "left")
-    full = F.when(F.col("name").contains("\\"), F.ltrim("name", F.lit("\\"))).otherwise(F.coalesce("fqn", "name"))
-    closures = _found(base, "content", rf"(?i)Route\s*::\s*({_VERBS})\s*\(\s*{q}\s*,\s*(?:function\b|fn\s*\()", 2).select("path", F.upper(F.col("m")[0]).alias("method"), F.col("m")[1].alias("uri"), F.lit("Closure").alias("controller"), F.lit("-").alias("action"))
-    return known.select("path", "method", "uri", full.alias("controller"), "action").union(closures)
-
-
 def url_calls(files: DataFrame, style: str = "c") -> DataFrame:
     """SRC12: every URL literal outside comments: (path, line, url, scheme, host, port, url_path, query, kind)."""
     plain = files.select("path", strip_comments(F.col("content"), style).alias("content"))
@@ -70,13 +43,6 @@ def url_calls(files: DataFrame, style: str = "c") -> DataFrame:
     return found.select("path", "line", "url", "u.scheme", "u.host", "u.port", F.col("u.path").alias("url_path"), "u.query", url_kind(F.col("u.host"), F.col("u.path")).alias("kind"))
 
 
-def script_calls(files: DataFrame) -> DataFrame:
-    """SRC12: scripts that are started from a string literal: (path, line, command, script)."""
-    found = _found(lines(files), "text", r"\b(?:exec|shell_exec|system|passthru|proc_open)\s*\(\s*(?:'([^']+)'|\"([^\"]+)\")", 2)
-    command = F.concat(F.col("m")[0], F.col("m")[1])
-    return found.select("path", "line", command.alias("command"), F.regexp_extract(command, r"python[0-9.]*\s+(?:-\S+\s+)*([^\s]+\.py)", 1).alias("script")).where("script <> ''")
-
-
 # Parts of a key whose value is never read.
 SECRET_KEYS = "password|passwd|secret|token|api_key|apikey|private|credential"
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a local master takes a temporary one and a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/graphloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graphloom/{label}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,21 +95,24 @@ def rate_limit(events: DataFrame, most: int, window: float) -> DataFrame:
     """ST5: per node, an event is allowed if fewer than ``most`` allowed ones lie within ``window`` seconds before it.
 
     Denied events use up nothing, so decisions depend on those before and no window function can
-    make them.  Nodes are cut into runs first: after a pause longer than the window a node's state is
-    empty, so each run is decided alone and a busy node becomes many groups.
+    make them.  Rows come to a task sorted by node and time, as Arrow batches of many nodes, and pass
+    once; of a node only its allowed times within the window are held.
     """
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("nodeId").orderBy("timestamp")
-    starts = F.coalesce((F.col("timestamp") - F.lag("timestamp").over(order) > window).cast("long"), F.lit(1))
-    runs = events.select("nodeId", "timestamp").withColumn("run", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp", kind="stable")
-        found = list(_greedy(pdf["timestamp"].tolist(), [], most, window))
-        return pd.DataFrame({"nodeId": pdf["nodeId"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy(), "allowed": [a for a, _ in found], "used": [u for _, u in found]})
-
-    return runs.groupBy("nodeId", "run").applyInPandas(decide, _DECIDED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, kept = None, []
+        for b in batches:
+            names, times, allowed, used = b.column("nodeId").to_pylist(), b.column("timestamp").to_pylist(), [], []
+            for name, t in zip(names, times, strict=True):
+                if name != node:
+                    node, kept = name, []
+                ok, n = next(_greedy([t], kept, most, window))
+                allowed.append(ok)
+                used.append(n)
+            yield pa.record_batch([b.column("nodeId"), b.column("timestamp"), pa.array(allowed, pa.bool_()), pa.array(used, pa.int64())], names=["nodeId", "timestamp", "allowed", "used"])
+
+    rows = events.select(F.col("nodeId").cast("string").alias("nodeId"), F.col("timestamp").cast("double").alias("timestamp"))
+    return rows.repartition("nodeId").sortWithinPartitions("nodeId", "timestamp").mapInArrow(run, _DECIDED)
 
 
 def rate_limit_stream(events: DataFrame, most: int, window: float) -> DataFrame:

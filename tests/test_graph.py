@@ -177,4 +177,4 @@ def test_critical_path_len_of_every_entry_point(spark):
             seen |= near
             depth += 1
         want[root] = depth
-    assert len(want) > 1 and {r["root"]: r["depth"] for r in QUERIES["critical_path_len_all"].run(spark, SMALL).collect()} == want
+    assert len(want) > 1 and {r["root"]: r["depth"] for r in QUERIES["critical_path_len"].run(spark, SMALL).collect()} == want

@@ -154,7 +154,7 @@ def test_entropy_of_whole_texts(spark):
     from graphloom.plans import projections
     from graphloom.plans.registry import QUERIES
 
-    got = {r["item_id"]: r["bits"] for r in QUERIES["text_entropy_whole"].run(spark, SMALL).collect()}
+    got = {r["item_id"]: r["bits"] for r in QUERIES["text_entropy"].run(spark, SMALL).collect()}
     texts = {r["item_id"]: r["text"] for r in projections.table(spark, SMALL, "benchmark").collect()}
     assert got.keys() == texts.keys() and max(map(len, texts.values())) > 60
     for k, text in texts.items():
