@@ -105,11 +105,13 @@ def arguments(ts: list[Token], at: int) -> list[list[Token]]:
 
 def uses(ts: list[Token]) -> Iterator[tuple[str, str, str]]:
     """(kind, alias, full name) of use statements outside of classes; kind is class, function or const."""
-    depth = 0
+    inner: list[bool] = []  # for each open brace whether it is another one than a namespace's
     for k, t in enumerate(ts):
-        if t.kind == "op":
-            depth += (t.text == "{") - (t.text == "}")
-        if not (t.kind == "name" and t.text.lower() == "use") or (k and ts[k - 1].text == ")") or depth > 1:
+        if t.kind == "op" and t.text == "{":
+            inner.append("namespace" not in (x.text.lower() for x in ts[max(0, k - 2) : k]))
+        elif t.kind == "op" and t.text == "}" and inner:
+            inner.pop()
+        if not (t.kind == "name" and t.text.lower() == "use") or (k and ts[k - 1].text == ")") or any(inner):
             continue
         end = next((j for j in range(k, len(ts)) if ts[j].text == ";"), len(ts))
         kind, lo = "class", k + 1
@@ -117,8 +119,7 @@ def uses(ts: list[Token]) -> Iterator[tuple[str, str, str]]:
             kind, lo = ts[lo].text.lower(), lo + 1
         brace = next((j for j in range(lo, end) if ts[j].text == "{"), None)
         prefix = "".join(x.text for x in ts[lo:brace]) if brace is not None else ""
-        inner = parts(ts, brace + 1, closing(ts, brace)) if brace is not None else parts(ts, lo, end)
-        for a, b in inner:
+        for a, b in parts(ts, brace + 1, closing(ts, brace)) if brace is not None else parts(ts, lo, end):
             words = [x.text for x in ts[a:b] if x.kind == "name"]
             own = kind
             if words and words[0].lower() in ("function", "const") and len(words) > 1:
