@@ -59,8 +59,8 @@ SHARP = 4
 TOXIC_SHARE, RIDGE = 0.03, 1e-6
 #: Distinct words whose kernel values a worker remembers.
 REMEMBERED = 300_000
-#: Words whose kernel values are computed at once.
-WORDS_AT_ONCE = 20_000
+#: Words whose kernel values are computed at once, and pairs whose tables are held together.
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 2048
 
 _END = re.compile(r"[.!?](?=\s)|\n")
 _APART = re.compile(r"(?<![^\s])(?:[^\W\d_][\s.*_-]){3,}[^\W\d_](?![^\s])")
@@ -81,23 +81,36 @@ def kernel(s: list[str], t: list[str]) -> np.ndarray:
     return kernel_codes(_codes(s), _codes(t))
 
 
-def kernel_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """kernel() of rows of code points; the pairs run along the last axis of all tables, so each step is one pass over memory."""
+def kernel_codes(a: np.ndarray, b: np.ndarray, gaps: np.ndarray | None = None) -> np.ndarray:
+    """kernel() of rows of code points, filled with 0; gaps[k, i] letters of a's word were left out before its letter i.
+
+    One step per pair of places; all pairs and all lengths of subsequences advance together, so only
+    the last row of tables is kept.
+    """
+    la, lb, n = a.shape[1], b.shape[1], len(a)
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    la, lb, n = len(a), len(b), a.shape[1]
-    same = np.where((a[:, None] == b[None]) & (a[:, None] > 0), np.float32(DECAY * DECAY), np.float32(0))
-    alive = np.ones((la + 1, lb + 1, n), np.float32)
-    for _ in range(ORDER - 1):
-        new = np.zeros_like(alive)
-        for i in range(1, la + 1):
-            run = np.zeros(n, np.float32)
-            for j in range(1, lb + 1):
-                run *= DECAY
-                run += same[i - 1, j - 1] * alive[i - 1, j - 1]
-                np.multiply(new[i - 1, j], DECAY, out=new[i, j])
-                new[i, j] += run
-        alive = new
-    return np.einsum("ijn,ijn->n", same, alive[:la, :lb]).astype(np.float64)
+    missed = None if gaps is None else np.power(np.float32(DECAY), gaps.T.astype(np.float32))
+    # alive[j, p]: weight of common subsequences of p + 1 letters within the first letters of a and j of b.
+    alive, total = np.zeros((lb + 1, ORDER - 1, n), np.float32), np.zeros(n, np.float32)
+    for i in range(la):
+        if missed is not None:
+            alive *= missed[i]
+        same = (b == a[i]) & (a[i] > 0)
+        if not same.any():
+            alive *= DECAY
+            continue
+        run, before = np.zeros((ORDER - 1, n), np.float32), alive[0].copy()
+        for j in range(lb):
+            match = same[j].astype(np.float32)
+            match *= DECAY * DECAY
+            run *= DECAY
+            run[0] += match
+            run[1:] += match * before[:-1]
+            total += match * before[-1]
+            before = alive[j + 1].copy()
+            alive[j + 1] *= DECAY
+            alive[j + 1] += run
+    return total.astype(np.float64)
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -107,6 +120,18 @@ def _codes(words: list[str]) -> np.ndarray:
     return data.view(np.uint32).reshape(len(words), width)
 
 
+def _only(codes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, gaps) of the words without the letters that a landmark has not: how many were left out before each that stays."""
+    keep = np.isin(codes, letters) & (codes > 0)
+    at = np.cumsum(keep, axis=1) - 1
+    width = max(1, int(at[:, -1].max()) + 1)
+    row, column = np.nonzero(keep)
+    out, place = np.zeros((len(codes), width), codes.dtype), np.full((len(codes), width + 1), -1)
+    out[row, at[row, column]] = codes[row, column]
+    place[row, at[row, column] + 1] = column
+    return out, np.maximum(place[:, 1:] - place[:, :-1] - 1, 0)
+
+
 class ToxicityModel:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -145,16 +170,16 @@ class ToxicityModel:
             some = order[lo : lo + WORDS_AT_ONCE]
             codes = _codes([parts[k][1] for k in some])
             for p, k in self._candidates(codes):
-                for own in np.unique(self.size[k]):
-                    mine = np.flatnonzero(self.size[k] == own)
-                    for b in range(0, len(mine), 1 << 12):
-                        pp, kk = p[mine[b : b + (1 << 12)]], k[mine[b : b + (1 << 12)]]
-                        value = np.minimum(kernel_codes(codes[pp], self.codes[kk, :own]) / self.own[kk], 1)
-                        np.maximum.at(out, (of[some[pp]], kk), np.where(value < FAINT, 0, value).astype(np.float32))
+                own = self.codes[k, : self.size[k]]
+                for b in range(0, len(p), PAIRS_AT_ONCE):
+                    pp = p[b : b + PAIRS_AT_ONCE]
+                    letters, gaps = _only(codes[pp], own)
+                    value = np.minimum(kernel_codes(letters, np.broadcast_to(own, (len(pp), len(own))), gaps) / self.own[k], 1)
+                    np.maximum.at(out[:, k], of[some[pp]], np.where(value < FAINT, 0, value).astype(np.float32))
         return out
 
-    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word, landmark) of all pairs whose longest common subsequence has ORDER letters; letters count by their code modulo 64, which only adds pairs."""
+    def _candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(words, landmark) of all pairs whose longest common subsequence has ORDER letters; letters count by their code modulo 64, which only adds pairs."""
         letter = (codes % 64).astype(np.int64)
         has = np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << letter.astype(np.uint64), np.uint64(0)), axis=1)
         for k in range(len(self.landmarks)):
@@ -173,7 +198,7 @@ class ToxicityModel:
                 common = np.bitwise_count(~row & np.uint16((1 << len(own)) - 1))
                 p = p[common >= ORDER]
                 if len(p):
-                    yield p, np.full(len(p), k)
+                    yield p, k
 
     def row(self, words: list[bytes]) -> np.ndarray:
         """Number of each word's row of values; row 0 is all zeros."""

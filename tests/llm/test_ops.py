@@ -386,10 +386,13 @@ def test_pairs_are_left_out_only_where_the_kernel_is_zero():
     words = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 90))) for _ in range(300)]
     model = toxicity.ToxicityModel(["^abcde", "bcdea", "^eeabcd", "éabcdé"])
     codes = toxicity._codes(["^" + w for w in words])
-    kept = {(int(p), int(k)) for some, marks in model._candidates(codes) for p, k in zip(some, marks, strict=True)}
+    kept = {(int(p), k) for some, k in model._candidates(codes) for p in some}
     for k, mark in enumerate(model.landmarks):
         value = toxicity.kernel(["^" + w for w in words], [mark] * len(words))
         assert {p for p in range(len(words)) if value[p] > 0} == {p for p, j in kept if j == k}
+        some = np.array(sorted(p for p, j in kept if j == k))
+        letters, gaps = toxicity._only(codes[some], np.array([ord(x) for x in mark]))
+        assert np.allclose(toxicity.kernel_codes(letters, toxicity._codes([mark] * len(some)), gaps), value[some], rtol=1e-4)
 
 
 def test_sample_is_one_row_per_document(spark):
