@@ -4,8 +4,8 @@ A document is the set of its distinct word shingles.  Two sets whose overlap rea
 least l tokens within their first ``n - o + l`` tokens of any global order.  The order here is by
 estimated frequency, rarest first, from a fixed-size counting sketch over every document.  Each
 document picks its own l: the prefix grows while the estimated candidates of its tokens cost more
-than the longer prefix, and a pair must then share correspondingly more tokens of both prefixes
-before it is verified.  A token at place i of n also bounds what can still be shared (n - i): a pair
+than the longer prefix.  Pairs are formed at tokens of the shortest prefixes (l = 1), and must share
+correspondingly more tokens of both longer prefixes before they are verified.  A token at place i of n also bounds what can still be shared (n - i): a pair
 is only formed at a token that can be the first of an overlap that is large enough, which drops
 most pairs of edited copies.
 
@@ -38,6 +38,8 @@ CELLS = 1 << 16
 MOST_MATCHES, CANDIDATES_PER_TOKEN = 4, 24
 #: Star rounds before all pairs between groups are joined.
 STARS = 2
+#: Parts into which the rows of a class of copies are dealt.
+SALTS = 16
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,12 +192,14 @@ def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     for r in survey.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
         sketch[r["doc_id"]] = r["n"]
     sizes = survey.where("kind = 0").select("doc_id", "n", "f", "g")
-    classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
+    classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     found = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n int, matches int, central long, tokens array<long>")
     prefixes = C.materialize(found.where("n > 0").join(reps, "doc_id", "left_semi"), "prefixes")
     C.release(docs.sparkSession)
-    by_token = prefixes.select("doc_id", F.posexplode("tokens").alias("i", "t"))
+    # Linked sets share a token of both shortest prefixes, so only those form pairs; the longer ones count.
+    shortest = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("matches") + 1)
+    by_token = prefixes.select("doc_id", F.posexplode(shortest).alias("i", "t"))
     shared = by_token.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
     few = C.materialize(by_token.join(shared, "t"), "postings")
     C.release(docs.sparkSession)
@@ -232,7 +236,10 @@ def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     now = grouped()
     rest = now.alias("x").join(now.alias("y"), "t").where("x.c < y.c").where(_may_link(percent, "x", "y"))
     merged(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    out = sizes.join(classes, ["n", "f", "g"], "left")
+    # Only sets that stand more than once need their class; a class of very many copies is dealt out.
+    copied = classes.where("rep <> last").select("n", "f", "g", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = dealt.join(copied, ["n", "f", "g", "salt"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")))
     if groups is not None:
         out = out.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     else:
