@@ -98,6 +98,11 @@ def deployment(edges: DataFrame, compose: DataFrame) -> DataFrame:
     return rows.withColumn("coverage", F.when(F.col("parts") == 0, "missing").when(F.col("targets") == 0, "partial").otherwise("complete"))
 
 
+def website(pages: DataFrame) -> DataFrame:
+    """Per host of (host, path) its distinct pages and all of its addresses."""
+    return pages.groupBy(F.col("host").alias("service")).agg(F.count_distinct("path").alias("pages"), F.count("*").alias("urls"))
+
+
 def devops(inconsistencies: DataFrame) -> DataFrame:
     """Findings by stage; high severity blocks, medium is a risk."""
     t = F.lower("type")

@@ -36,7 +36,7 @@ def events_for_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EVENTS_SQL} SELECT event_id, type FROM log ORDER BY t DESC, event_id LIMIT 100")
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log(spark, sf_dir).orderBy(F.col("timestamp").desc(), "event_id").limit(100).select("event_id", "type")
+    return E.recent(log(spark, sf_dir), 100, "event_id").select("event_id", "type")
 
 
 @query(f"""{EVENTS_SQL}, seq AS (SELECT node, t, row_number() OVER (PARTITION BY node ORDER BY t) AS i FROM log),

@@ -91,7 +91,7 @@ def url_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_URLS} SELECT host AS service, count(DISTINCT path)::BIGINT AS pages, count(*)::BIGINT AS urls FROM urls GROUP BY 1")
 def website_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.table(spark, sf_dir, "pages").withColumn("u", scalar.url_parts(F.col("url")))
-    return p.groupBy(F.col("u.host").alias("service")).agg(F.count_distinct("u.path").alias("pages"), F.count("*").alias("urls"))
+    return maps.website(p.select("u.host", "u.path"))
 
 
 @query("""WITH t AS (SELECT 's' || c_nationkey AS service, count(DISTINCT o_orderpriority) AS targets FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 4 <> 0 GROUP BY 1), c AS (SELECT 's' || s_nationkey AS service, count(DISTINCT s_suppkey) AS parts FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1)

@@ -93,8 +93,16 @@ def page_rules(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """SRC20: every link of a page: (page_id, href)."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\""), 1)).alias("href"))
+    """SRC20: every link of a page: (page_id, href), in either kind of quotes."""
+    pattern = F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*(\"[^\"]*\"|'[^']*')")
+    quoted = pages.select("page_id", F.explode(F.regexp_extract_all("html", pattern, 1)).alias("q"))
+    return quoted.select("page_id", F.expr("substring(q, 2, length(q) - 2)").alias("href"))
+
+
+def sitemap(files: DataFrame) -> DataFrame:
+    """SRC20: addresses of sitemaps: (path, loc, kind, seq); kind is url or sitemap."""
+    found = _found(files.select("path", "content"), "content", r"(?is)<(url|sitemap)\b[^>]*>.*?<loc>\s*(.*?)\s*</loc>", 2)
+    return found.select("path", F.col("m")[1].alias("loc"), F.lower(F.col("m")[0]).alias("kind"), F.col("n").alias("seq"))
 
 
 # Known forms of credentials, with names of variables that hold some.

@@ -72,9 +72,9 @@ def monitor(events: DataFrame) -> DataFrame:
     return done.agg(n.alias("total"), ok.alias("succeeded"), (n - ok).alias("failed"), F.coalesce(F.avg("durationMs"), F.lit(0.0)).alias("average_ms"), F.coalesce(ok / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("success_rate"))
 
 
-def recent(events: DataFrame, n: int = 100) -> DataFrame:
-    """ST4: the last n events of any type (a ring buffer)."""
-    return events.orderBy(F.col("timestamp").desc()).limit(n)
+def recent(events: DataFrame, n: int = 100, *ties: str) -> DataFrame:
+    """ST4: the last n events of any type (a ring buffer); further columns order events of one time."""
+    return events.orderBy(F.col("timestamp").desc(), *ties).limit(n)
 
 
 _DECIDED = "nodeId string, timestamp double, allowed boolean, used long"

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from graphloom import tools
 from graphloom.model import DependencyGraph
 from graphloom.operators import iterate, maps, render, risk
-from graphloom.sources import code, files, infra, php_code, php_routes, php_tokens, ts_code, yaml_text
+from graphloom.sources import code, files, infra, php_code, php_routes, php_tokens, revision, text, ts_code, yaml_text
+from graphloom.streaming import events as E
+from graphloom.streaming import execution
 
 PHP = r"""<?php
 namespace App\Http;
@@ -145,3 +147,24 @@ def test_tools_and_renderers(spark):
     edges = spark.createDataFrame([("s", "t", "http", 2)], "`from` string, `to` string, type string, count long")
     assert "Rel(n0, n1" in render.context_diagram(edges, "x") and maps.lookup_boundary(maps.catalogue_boundaries(edges), "T", "S").first()["calls"] == 2
     assert maps.lookup_path(spark.createDataFrame([("r", 2, "r|a::x"), ("q", 1, "q|b::y")], "root string, depth int, path string"), "A::X").first()["root"] == "r"
+
+
+def test_revision_sitemap_and_libraries(spark, tmp_path):
+    git = tmp_path / ".git"
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text("# x\nabc refs/heads/main\n")
+    (git / "config").write_text('[remote "origin"]\n\turl = https://me:secret@host.test/a.git\n')
+    assert revision.revision(str(tmp_path)) == {"branch": "main", "commit": "abc", "remote": "https://host.test/a.git"} and revision.revision(str(git)) is None
+    xml = "<urlset><url><loc> http://a.test/1 </loc></url><url><loc>http://a.test/2</loc></url></urlset>"
+    assert [r["loc"] for r in text.sitemap(sources(spark, ("sitemap.xml", xml))).orderBy("seq").collect()] == ["http://a.test/1", "http://a.test/2"]
+    links = text.page_links(spark.createDataFrame([(1, "<a href='/x'>a</a><A class=b href=\"/y\">")], "page_id long, html string"))
+    assert [r["href"] for r in links.collect()] == ["/x", "/y"]
+
+
+def test_execution(spark):
+    calls = spark.createDataFrame([("add", {"a": "1", "b": "2"}), ("boom", {}), ("gone", {}), ("bad", {})], "nodeId string, inputs map<string,string>").coalesce(1)
+    functions = {"add": lambda a, b: int(a) + int(b), "boom": lambda: 1 // 0}
+    got = execution.execute(calls, functions, [("list", E.blacklist(["bad"]))]).collect()
+    assert [(r["type"], r["nodeId"], r["output"]) for r in got if r["type"] != E.STARTED] == [(E.SUCCEEDED, "add", "3"), (E.FAILED, "boom", None), (E.FAILED, "gone", None), (E.FAILED, "bad", None)]
+    assert [r["exception"] for r in got if r["type"] == E.FAILED] == ["ZeroDivisionError: integer division or modulo by zero", "LookupError: node not found: gone", "list: blacklisted bad"]
