@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its result is
 written as Parquet to the shared folder and read again as the next one's docs.  All but the last
 return the columns of documents.
+
+Defined cases: an empty table gives no rows; a null text counts as empty in every stage; rows that
+share a doc_id are judged each by itself by the models and stay or go together as near duplicates; a
+null doc_id is never a duplicate; further columns are carried through all stages but the last.
 """
 
 from __future__ import annotations
