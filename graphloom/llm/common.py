@@ -7,8 +7,6 @@ numpy arrays over a slice of an Arrow batch, so the cost per byte is a few array
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import cut, scratch  # noqa: F401
+
 #: Text bytes that one numpy pass handles at a time.
 SLICE_BYTES = 4 << 20
 
@@ -27,21 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/graphloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphloom/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """The rows of df written as Parquet to the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, label)
 
 
 def release(spark: SparkSession) -> None:

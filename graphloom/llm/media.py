@@ -179,8 +179,12 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def load(index: DataFrame, folder: str) -> DataFrame:
-    """Metadata and features of every row of the index, from range reads."""
-    placed = index.repartition("shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
+    """Metadata and features of every row of the index, from range reads.
+
+    Tasks are as many as the bytes to read ask for; the index itself is small and says nothing about that.
+    """
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    placed = index.repartition(int(total) // READ_BYTES + 1, "shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
     kinds = {pa.int64(): "long", pa.string(): "string", pa.int32(): "int"}
     return placed.mapInArrow(_load(folder), ", ".join(f"{f.name} {kinds[f.type]}" for f in _MEDIA))
 

@@ -56,7 +56,7 @@ NEAR = 0.5
 #: Power of the values that are added up, so that many weak ones don't make a strong one.
 SHARP = 4
 #: Weight of all toxic sentences together in the machine's loss; the others have the rest.
-TOXIC_SHARE, RIDGE = 0.03, 1e-6
+TOXIC_SHARE, RIDGE = 0.05, 1e-6
 #: Distinct words whose kernel values a worker remembers.
 REMEMBERED = 300_000
 #: Words whose kernel values are computed at once, and pairs whose tables are held together.
@@ -93,13 +93,11 @@ def kernel_codes(a: np.ndarray, b: np.ndarray, gaps: np.ndarray | None = None) -
     # alive[j, p]: weight of common subsequences of p + 1 letters within the first letters of a and j of b.
     alive, total = np.zeros((lb + 1, ORDER - 1, n), np.float32), np.zeros(n, np.float32)
     for i in range(la):
-        if missed is not None:
-            alive *= missed[i]
         same = (b == a[i]) & (a[i] > 0)
         if not same.any():
-            alive *= DECAY
+            alive *= DECAY if missed is None else missed[i] * np.float32(DECAY)
             continue
-        run, before = np.zeros((ORDER - 1, n), np.float32), alive[0].copy()
+        run, before = np.zeros((ORDER - 1, n), np.float32), alive[0]
         for j in range(lb):
             match = same[j].astype(np.float32)
             match *= DECAY * DECAY
@@ -107,8 +105,8 @@ def kernel_codes(a: np.ndarray, b: np.ndarray, gaps: np.ndarray | None = None) -
             run[0] += match
             run[1:] += match * before[:-1]
             total += match * before[-1]
-            before = alive[j + 1].copy()
-            alive[j + 1] *= DECAY
+            before = alive[j + 1].copy() if missed is None else alive[j + 1] * missed[i]
+            np.multiply(before, DECAY, out=alive[j + 1])
             alive[j + 1] += run
     return total.astype(np.float64)
 
@@ -165,7 +163,7 @@ class ToxicityModel:
         parts = [(k, w[a : a + LONG_WORD]) for k, word in enumerate(words) for w in (f"^{word}",) for a in range(0, max(1, len(w) - LONG_WORD // 2), LONG_WORD // 2)]
         of = np.fromiter((k for k, _ in parts), np.int64, len(parts))
         size = np.fromiter((len(w) for _, w in parts), np.int64, len(parts))
-        order = np.argsort(size, kind="stable")
+        order, whole = np.argsort(size, kind="stable"), len(parts) == len(words)
         for lo in range(0, len(order), WORDS_AT_ONCE):
             some = order[lo : lo + WORDS_AT_ONCE]
             codes = _codes([parts[k][1] for k in some])
@@ -175,7 +173,11 @@ class ToxicityModel:
                     pp = p[b : b + PAIRS_AT_ONCE]
                     letters, gaps = _only(codes[pp], own)
                     value = np.minimum(kernel_codes(letters, np.broadcast_to(own, (len(pp), len(own))), gaps) / self.own[k], 1)
-                    np.maximum.at(out[:, k], of[some[pp]], np.where(value < FAINT, 0, value).astype(np.float32))
+                    value = np.where(value < FAINT, 0, value).astype(np.float32)
+                    if whole:
+                        out[of[some[pp]], k] = value
+                    else:
+                        np.maximum.at(out[:, k], of[some[pp]], value)
         return out
 
     def _candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -185,7 +187,9 @@ class ToxicityModel:
         for k in range(len(self.landmarks)):
             own = self.codes[k, : self.size[k]]
             bit = np.uint64(1) << (own % 64).astype(np.uint64)
-            p = np.flatnonzero(((has[:, None] & bit) > 0).sum(axis=1) >= ORDER)
+            # Letters that a landmark has twice count twice, so fewer different ones may do.
+            kinds = np.unique(bit)
+            p = np.flatnonzero(np.bitwise_count(has & np.bitwise_or.reduce(kinds)) >= ORDER - (len(own) - len(kinds)))
             if len(p):
                 # One bit for each letter of the landmark; bits that turn 0 count the subsequence's length.
                 at = np.zeros(65, np.uint16)
@@ -341,7 +345,7 @@ def _anywhere(chosen: list[tuple[str, int]], names: list[str], code: np.ndarray,
     ends = np.searchsorted(code[order], np.arange(len(names) + 1))
     for name, times in chosen:
         piece = name[1:]
-        if times > 1 or len(piece) < ORDER:
+        if times > 1 or len(piece) < ORDER or any(x.startswith(piece[:ORDER]) for x, _ in out):  # near pieces find each other's words
             continue
         words = np.unique(np.searchsorted(starts, [m.start() for m in re.finditer(re.escape(piece), text)], side="right") - 1)
         docs = np.unique(np.concatenate([doc[order[ends[w] : ends[w + 1]]] for w in words]))

@@ -532,6 +532,52 @@ def test_html_broken_and_long():
     assert boilerplate.blocks("<article><p title=it's>Hello 1 < 2 &lt;b&gt;<p a=\"x>y\" b='>'>there") == [("Hello 1 < 2 <b>", 0), ("there", 0)]
 
 
+EDGES = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("text", "words", "lines", "keys", "n_words", "text_a", "block", "salt", "score"))])
+
+
+def awkward(spark):
+    """Nulls in any column, empty and long texts, repeated rows, ties, and columns that clash with inner names."""
+    base = prose(random.Random(51), 60)
+    texts = [(1, base), (1, base), (2, base), (None, "alone words"), (None, None), (3, None), (4, ""), (5, "z" * 20_000), (6, prose(random.Random(52), 3_000)), (7, "\n \t")]
+    return spark.createDataFrame([(i, t, *["x"] * 8) for i, t in texts], EDGES)
+
+
+def test_awkward_rows(spark):
+    df, n = awkward(spark), 10
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = quality_rules.apply_rules(df).collect()
+    assert len(rows) == n and sum(r["doc_id"] is None for r in rows) == 2 and [r["n_words"] for r in rows if r["doc_id"] == 1] == [60, 60]
+    rows = jaccard.similarity_groups(df).collect()
+    assert len(rows) == n and {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1} and {r["component_id"] for r in rows if r["doc_id"] is None} == {None}
+    assert media.media_columns(df).where("doc_id is null").count() == 2 and media.media_columns(df).count() == n
+    assert rlz.dedup_substrings(df).count() == n and spm.digests(df, P.path("piece_bpe_32k.model")).count() == n
+    for scores in (toxicity.score_toxicity(df, labels), quality_model.score_quality(df, labels)):
+        assert all(0 <= r["score"] <= 1 for r in scores.collect()) and scores.count() == n
+    one = labels.where("doc_id = 1")
+    assert quality_model.score_quality(df, one).count() == n and toxicity.score_toxicity(df.limit(0), one).count() == 0
+
+
+def test_a_token_that_very_many_share(spark):
+    """Sets that share their rarest tokens without being linked, beside a class of copies."""
+    passage = prose(random.Random(61), 24)
+    texts = [f"{passage} {prose(random.Random(k), 9)}" for k in range(100, 160)] + [passage] * 40
+    got = by_id(jaccard.similarity_groups(frame(spark, texts), 3, 90))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == groups_of(texts, 3, 90)
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", None, None, "clash") for i, t in [(1, prose(random.Random(71), 80)), (1, "a b"), (2, None), (3, ""), (None, "c d"), (4, prose(random.Random(71), 80)), (5, "y" * 3000)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    for name, found in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(found, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert all(r["length"] >= 1 for r in packed) and (bool(packed) or name == "none")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
