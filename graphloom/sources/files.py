@@ -60,10 +60,9 @@ def is_ignored(path: Column, ignored: Sequence[str] = IGNORED) -> Column:
 
 
 def is_generated(path: Column, content: Column, size: Column) -> Column:
-    """SRC3: minified or bundled by name, too large, or with a very long line in its first part (counted in bytes)."""
+    """SRC3: minified or bundled by name, too large, or with a very long line in its first part (counted in characters)."""
     named = F.lower(path).rlike(r"\.(min|bundle|pack)\.(js|ts|css)$")
-    probe = F.try_to_binary(content, F.lit("utf-8"))
-    lines = F.split(F.decode(F.substring(probe, 1, PROBE_BYTES), "UTF-8"), "\n")
+    lines = F.split(F.substring(content, 1, PROBE_BYTES), "\n")
     return named | (size > MOST_BYTES) | F.exists(lines, lambda x: F.length(x) > LONGEST_LINE)
 
 
