@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import chains
 from graphloom.storage import cut
 
 #: Edges of a graph that one task solves, at most (16 bytes each).
@@ -25,6 +26,10 @@ LOCAL = 4_000_000
 TRIMS = 3
 #: Sources whose reach one task marks, as bits beside each vertex.
 BITS = 1024
+#: Bytes of ids, as they stand in the edges, of a graph whose pairs tasks list, at most.
+NAMES = 1 << 28
+#: Sources whose reach one task lists, and names in one row of a list.
+SOURCES, PIECE = 16_384, 8192
 
 DOWN, UP, BOTH = "downstream", "upstream", "both"
 
@@ -71,11 +76,24 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def reach(edges: DataFrame) -> DataFrame:
     """K-REACH: distinct (a, b) where a path of one edge or more leads from a to b.
 
+    With at most LOCAL edges and NAMES bytes of ids, one task covers the graph with chains and sends it,
+    compressed, to tasks that list what SOURCES ids each reach: no pair is written or shuffled on the
+    way.  Larger graphs are solved by rounds of joins, whose pairs are written in every round.
+    """
+    links = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "reach")
+    size = links.agg(F.count("*").alias("n"), F.sum(F.octet_length("a") + F.octet_length("b")).alias("bytes"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("nulls")).first()
+    if size["n"] > LOCAL or size["nulls"] or (size["bytes"] or 0) > NAMES:
+        return _doubled(links, size["n"])
+    return _listed(links) if size["n"] else links
+
+
+def _doubled(power: DataFrame, size: int) -> DataFrame:
+    """The closure of size distinct (a, b) by rounds of joins.
+
     Walks are doubled: with all pairs up to 2^k steps and the pairs of exactly 2^k steps, one join
     gives all up to 2^(k+1), so the rounds grow with the logarithm of the longest shortest path.
     """
-    power = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "reach")
-    known, size = power, power.count()
+    known = power
     while size:
         step = power.select(F.col("a").alias("m"), F.col("b").alias("z"))
         grown = cut(known.union(known.join(step, known["b"] == step["m"]).select("a", "z")).distinct(), "reach")
@@ -87,6 +105,63 @@ def reach(edges: DataFrame) -> DataFrame:
     return known
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the whole graph: names by place in a cover, beginnings of its chains, edges between places."""
+    table = pa.Table.from_batches([pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]) for b in batches])
+    if not table.num_rows:
+        return
+    ends = pa.chunked_array(table["a"].chunks + table["b"].chunks).combine_chunks().dictionary_encode()
+    names, at = ends.dictionary, ends.indices.to_numpy().astype(np.int64)
+    a, b = at[: table.num_rows], at[table.num_rows :]
+    order, starts = chains.cover(len(names), a, b)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    graph = {"names": names.take(pa.array(order)), "starts": pa.array(starts), "x": pa.array(place[a]), "y": pa.array(place[b])}
+    sink = pa.BufferOutputStream()
+    row = pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in graph.values()], names=list(graph))
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    yield pa.record_batch([pa.array([len(np.unique(a))]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["sources", "graph"])
+
+
+def _listed(links: DataFrame) -> DataFrame:
+    """The closure of distinct (a, b), in tasks that each hold the whole graph."""
+    spark = links.sparkSession
+    graph = cut(links.repartition(1).mapInArrow(_covered, "sources long, graph binary"), "chains")
+    tasks = -(-graph.first()["sources"] // SOURCES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = pa.ipc.open_stream(batch.column("graph")[k].as_buffer()).read_next_batch()
+                names, *numbers = (held.column(c).flatten() for c in ("names", "starts", "x", "y"))
+                starts, x, y = (c.to_numpy() for c in numbers)
+                search = chains.Search(len(names), starts, x, y)
+                # Neighbours on a chain reach much alike, and tasks take turns, so all have their share of long chains.
+                sources = np.unique(x)
+                blocks = [sources[i : i + search.width] for i in range(0, len(sources), search.width)][batch.column("task")[k].as_py() :: tasks]
+                for found in (f for block in blocks for f in search.reached(block)):
+                    yield from _rows(names, *found)
+
+    rows = spark.range(tasks, numPartitions=tasks).toDF("task").crossJoin(F.broadcast(graph.select("graph"))).mapInArrow(run, "a string, b array<string>")  # graph is one row
+    return rows.select("a", F.explode("b").alias("b"))
+
+
+def _rows(names: pa.Array, source: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, list of b) of the ranges lo..hi-1 that the sources reach, a bounded number of names at a time."""
+    pieces = -(-(hi - lo) // PIECE)
+    nth = chains.spread(np.zeros(len(pieces), np.int64), pieces)
+    source, lo, hi = (np.repeat(c, pieces) for c in (source, lo, hi))
+    lo = lo + nth * PIECE
+    hi = np.minimum(hi, lo + PIECE)
+    turn = np.cumsum(hi - lo) // (8 * PIECE)
+    for part in np.split(np.arange(len(lo)), np.flatnonzero(np.diff(turn)) + 1):
+        if len(part):
+            offsets = np.append(0, np.cumsum(hi[part] - lo[part])).astype(np.int32)
+            reached = names.take(pa.array(chains.spread(lo[part], hi[part])))
+            yield pa.record_batch([names.take(pa.array(source[part])), pa.ListArray.from_arrays(pa.array(offsets), reached)], names=["a", "b"])
+
+
 def _numbered(edges: DataFrame) -> DataFrame:
     """Distinct (a, b) of 64-bit hashes of the ids, without self-loops."""
     return edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")).where("a <> b").distinct()
@@ -199,25 +274,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return named.join(least, "component").select(F.col("least").alias("component"), F.col("name").alias("id"))
 
 
-def _levels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each vertex of 0..n-1 the most edges on a path that ends in it; -1 on and after cycles."""
-    level, waiting = np.zeros(n, np.int64), np.bincount(b, minlength=n)
-    order = np.argsort(a, kind="stable")
-    first, to = np.searchsorted(a[order], np.arange(n + 1)), b[order]
-    front, depth, done = np.flatnonzero(waiting == 0), 0, np.zeros(n, bool)
-    while len(front):
-        level[front], done[front] = depth, True
-        sizes = first[front + 1] - first[front]
-        hit = to[np.repeat(first[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-        np.subtract.at(waiting, hit, 1)
-        front, depth = np.unique(hit[waiting[hit] == 0]), depth + 1
-    return np.where(done, level, -1)
-
-
 def _mark(a: np.ndarray, b: np.ndarray, ids: np.ndarray, weight: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(vertex, weight of those of the block's BITS sources, themselves left out, that reach it) over an acyclic graph of indices into ids."""
     n = len(ids)
-    level = _levels(n, a, b)
+    level = chains.levels(n, a, b)
     sources = np.unique(a)[block * BITS : (block + 1) * BITS]
     marks = np.zeros((n, BITS // 64), np.uint64)
     place = np.arange(len(sources))
@@ -293,7 +353,7 @@ def _marked(links: DataFrame, weight: DataFrame, n: int) -> DataFrame:
 
 def _layers_in_task(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    level = _levels(len(ids), ends[len(a) :], ends[: len(a)])
+    level = chains.levels(len(ids), ends[len(a) :], ends[: len(a)])
     return {"v": ids, "layer": (level + 1).astype(np.int32)}
 
 

@@ -48,6 +48,27 @@ def test_reach_components_and_layers(spark, edges):
             assert layer[b] is not None and layer[b] < layer[a]
 
 
+def test_reach_writes_no_pairs(spark, monkeypatch):
+    """A ring with a tail and a branch: only edges are written on the way, and the pairs are those of the joins."""
+    edges = [(f"r{k}", f"r{(k + 1) % 40}") for k in range(40)] + [(f"t{k}", f"t{k + 1}") for k in range(60)] + [("t60", "r7"), ("t30", "u0"), ("u0", "u0")]
+    df = spark.createDataFrame(edges + edges[:5], "src string, dst string")
+    written, cut = [], iterate.cut
+
+    def counted(rows, label):
+        out = cut(rows, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(iterate, "cut", counted)
+    monkeypatch.setattr(iterate, "SOURCES", 30, raising=False)
+    monkeypatch.setattr(iterate, "PIECE", 7, raising=False)
+    listed = sorted(tuple(r) for r in iterate.reach(df).collect())
+    assert max(written) <= len(edges)
+    assert listed == sorted((a, b) for a in {a for a, _ in edges} for b in reached(edges, a))
+    monkeypatch.setattr(iterate, "LOCAL", 0)
+    assert listed == sorted(tuple(r) for r in iterate.reach(df).collect())
+
+
 def _norm(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
 
