@@ -5,9 +5,10 @@ least l tokens within their first ``n - o + l`` tokens of any global order.  The
 estimated frequency, rarest first, from a fixed-size counting sketch over every document.  Each
 document picks its own l: the prefix grows while the estimated candidates of its tokens cost more
 than the longer prefix.  Pairs are formed at tokens of the shortest prefixes (l = 1), and must share
-correspondingly more tokens of both longer prefixes before they are verified.  A token at place i of n also bounds what can still be shared (n - i): a pair
-is only formed at a token that can be the first of an overlap that is large enough, which drops
-most pairs of edited copies.
+correspondingly more tokens of both longer prefixes before they are verified.  Of tokens that stand in
+exactly the same documents only the first is kept.  The last round forms a pair at the first token that both
+have, so once and not at each token of a passage, and a token at place i of n also bounds what can
+still be shared (n - i): a pair whose first token comes too late is dropped, as most pairs of edited copies are.
 
 Equal sets are one class with its smallest doc_id, so copies cost nothing further.  Links only
 matter for groups here: star rounds first verify each document against the most central document
@@ -36,6 +37,8 @@ from graphloom.llm.components import components
 CELLS = 1 << 16
 #: Longest extension of a prefix, and the candidates that pay for one more token in it.
 MOST_MATCHES, CANDIDATES_PER_TOKEN = 4, 24
+#: Earlier tokens that a posting knows; a pair that shares a later one first may be formed more than once.
+EARLIER = 64
 #: Star rounds before all pairs between groups are joined.
 STARS = 2
 #: Parts into which the rows of a class of copies are dealt.
@@ -184,6 +187,18 @@ def _enough_shared(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataF
     return rows.where(f"size(array_intersect(sa.tokens, sb.tokens)) >= {_overlap(percent, 'sa', 'sb')} - {left}").select("a", "b")
 
 
+def _first_of_alike(few: DataFrame) -> DataFrame:
+    """(t, w): of the tokens that stand in exactly the same rows only the first in the order, and how many they are.
+
+    What two rows share first is the first of its kind, so no other token needs to form their pair.
+    The sets of rows are told apart by their sizes, least rows and sums of 128 bits of hashes.
+    """
+    h, g = F.xxhash64("row"), F.xxhash64("row", F.lit(1))
+    halves = [x for y in (h, g) for x in (y.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(y, 32))]
+    sets = few.groupBy("t").agg(F.count("*").alias("m"), F.min(F.struct("row", "i")).alias("least"), *(F.sum(x).alias(f"h{k}") for k, x in enumerate(halves)))
+    return sets.groupBy("m", "least.row", *(f"h{k}" for k in range(len(halves)))).agg(F.min(F.struct("least.i", "t")).alias("f"), F.count("*").alias("w")).select("f.t", "w")
+
+
 def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     docs = C.keyed_documents(docs)
@@ -195,15 +210,18 @@ def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     found = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n int, matches int, central long, tokens array<long>")
-    prefixes = C.materialize(found.where("n > 0").join(reps, "doc_id", "left_semi"), "prefixes")
+    # Rows that share a doc_id stay apart until they form pairs.
+    prefixes = C.materialize(found.where("n > 0").join(reps, "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id()), "prefixes")
     C.release(docs.sparkSession)
     # Linked sets share a token of both shortest prefixes, so only those form pairs; the longer ones count.
     shortest = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("matches") + 1)
-    by_token = prefixes.select("doc_id", F.posexplode(shortest).alias("i", "t"))
+    by_token = prefixes.select("row", F.posexplode(shortest).alias("i", "t"))
     shared = by_token.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
     few = C.materialize(by_token.join(shared, "t"), "postings")
     C.release(docs.sparkSession)
-    postings = C.materialize(few.join(prefixes.select("doc_id", "n", "central"), "doc_id"), "postings")
+    own = few.join(_first_of_alike(few), "t").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "t", "w"))).alias("own"))
+    listed = own.join(prefixes.select("row", "doc_id", "n", "central"), "row").select("doc_id", "n", "central", F.transform("own", lambda x: x["t"]).alias("ts"), F.posexplode("own").alias("nth", "o"))
+    postings = C.materialize(listed.select("doc_id", "n", "central", "o.*", F.slice("ts", F.lit(1), F.least("nth", F.lit(EARLIER))).alias("before")), "postings")
     involved = postings.select("doc_id").distinct()
     texts = C.materialize(docs.join(involved, "doc_id", "left_semi"), "involved-texts")
     C.release(docs.sparkSession)
@@ -227,14 +245,14 @@ def similarity_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
         return count
 
     for turn in range(STARS):
-        now = grouped()
+        now = grouped().drop("before")
         rank = F.col("central") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
         hub = now.groupBy("t").agg(F.max(F.struct(rank.alias("r"), "doc_id", "n", "i", "c")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "hub.*").drop("r")
         star = now.alias("x").join(hub.alias("h"), "t").where("x.c <> h.c").where(_may_link(percent, "x", "h"))
-        pairs = star.groupBy(F.col("h.doc_id").alias("a"), F.col("x.doc_id").alias("b")).agg(F.count("*").alias("m"))
+        pairs = star.groupBy(F.col("h.doc_id").alias("a"), F.col("x.doc_id").alias("b")).agg(F.sum("x.w").alias("m"))
         merged(pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("p")).select(F.col("p.a").alias("a"), "b"))
     now = grouped()
-    rest = now.alias("x").join(now.alias("y"), "t").where("x.c < y.c").where(_may_link(percent, "x", "y"))
+    rest = now.alias("x").join(now.alias("y"), "t").where("x.c < y.c").where(_may_link(percent, "x", "y")).where("not arrays_overlap(x.before, y.before)")
     merged(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
     # Only sets that stand more than once need their class; a class of very many copies is dealt out.
     copied = classes.where("rep <> last").select("n", "f", "g", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

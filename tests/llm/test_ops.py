@@ -160,6 +160,36 @@ def test_jaccard_groups(spark, monkeypatch, k, percent, stars):
 
 def test_jaccard_edges(spark):
     assert jaccard.similarity_groups(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("earlier", [64, 0])
+def test_jaccard_forms_each_pair_once(spark, monkeypatch, earlier):
+    """Texts that share most of their rarest shingles without being linked, and two rows of one doc_id that link others."""
+    words = [f"w{k}" for k in range(100)]
+    texts = []
+    for code in ((x, y, z, -(x + y + z) % 3) for x in range(3) for y in range(3) for z in range(3)):
+        own = words.copy()
+        for at, c in zip((10, 30, 50, 70), code, strict=True):
+            own[at] = f"e{at}v{c}"
+        texts.append(" ".join(own))
+    df = frame(spark, texts)
+    kind, made = type(df), []
+
+    def counted(rows, distinct=kind.distinct):
+        if rows.columns == ["a", "b"]:
+            made.append((rows.count(), distinct(rows).count()))
+        return distinct(rows)
+
+    monkeypatch.setattr(kind, "distinct", counted)
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    monkeypatch.setattr(jaccard, "EARLIER", earlier, raising=False)
+    rows = jaccard.similarity_groups(df, 3, 90).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in rows) and len(rows) == len(texts)
+    assert made and made[-1][1] > 0
+    if earlier:
+        assert made[-1][0] == made[-1][1]
+    twice = spark.createDataFrame([(1, texts[0] + " x"), (2, texts[0] + " y"), (2, texts[4] + " y"), (3, texts[4] + " x")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.similarity_groups(twice, 3, 90).collect()} == {1}
     kept = jaccard.one_of_each_group(frame(spark, ["a b c d e f", "A b c d e f", None, ""], [4, 2, 1, None]))
     assert sorted((r["doc_id"] is None, r["doc_id"], r["doc"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, 1, "clash"), (False, 2, "clash")] and kept.count() == 3
 
